@@ -26,7 +26,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.quality_rules import apply_rules
+
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    got = apply_rules(_table(spark, sf_dir, "documents"), labels)
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.simhash import near_duplicates
+
+    got = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, budget=2)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_simhash": op10_simhash,
 }
