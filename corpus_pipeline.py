@@ -1,5 +1,79 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, tokenization.
+
+Each stage gets what the one before kept, from the Parquet table that it was written to; all but the last
+return the columns of ``documents``. A stage that changes a text sets n_chars anew.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opinara.llm.common import KEY, drop_table, table_path, with_key
+from opinara.llm.decontaminate import decontaminate
+from opinara.llm.factorization import TOXICITY, score, train
+from opinara.llm.line_dedup import dedup_lines
+from opinara.llm.sentencepiece_bpe import encode_decode, read_model
+from opinara.llm.simhash import near_duplicates
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.7 or more go. The score is op4's; a document of unknown text stays."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    machine = train(docs, labels, TOXICITY, (3, 1))
+    return score(docs, machine, keep=COLUMNS).where(F.col("score") < 0.7).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in 10 or more documents go from every text; no document goes."""
+    return dedup_lines(docs.select(*COLUMNS)).select("doc_id", "text", "lang", "source", F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id stays; of repeated rows one. Null ids go with their group, but a group of null ids alone keeps one row."""
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    # ids are hashed to a key that is never null, so null ids are matched too
+    key = "_id_key"
+    one = docs.select(*COLUMNS).withColumn(key, F.xxhash64("doc_id")).join(kept.select(F.xxhash64("doc_id").alias(key)), key)
+    return one.dropDuplicates([key]).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate(docs, items, keys=True).where("contaminated").select(*KEY).distinct()
+    return with_key(docs.select(*COLUMNS)).join(found, list(KEY), "left_anti").select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of what is left, as op8 returns them: token count and digests."""
+    import public_tokenizers
+
+    return encode_decode(docs, read_model(public_tokenizers.path("piece_bpe_32k.model")), digests=True)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("tokenize", tokenize),
+]
+
+#: The first stage's learned scores and the last one's ids are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = table_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        if before:
+            drop_table(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs

@@ -116,8 +116,8 @@ def _covered(spans: Column) -> Column:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted as strings), contaminated."""
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, keys: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted as strings), contaminated; with ``keys`` also the row key."""
     tokens = with_key(id_and_text(docs, id_col, text_col)).select("doc_id", *KEY, words(F.col("text")).alias("_words"))
     windows = written(item_windows(id_and_text(items, item_col, item_text_col), window, shingle), "item-windows")
     occ = written(occurrences(tokens, windows), "occurrences")
@@ -131,6 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     out = sizes.join(found, list(KEY), "left")
     return out.select(
         "doc_id",
+        *(KEY if keys else ()),
         "n_words",
         F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("_items", F.array().cast("array<string>")).alias("item_ids"),

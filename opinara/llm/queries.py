@@ -19,6 +19,36 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(spark: SparkSession, sf_dir: str, label: str, terms, fold: tuple[int, int], cut: float) -> DataFrame:
+    from opinara.llm.factorization import in_fold, score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    got = score(docs, train(docs, labels, terms, fold))
+    return got.select("doc_id", in_fold(F.col("doc_id"), *fold).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.factorization import TOXICITY
+
+    return _scored(spark, sf_dir, "toxic", TOXICITY, (3, 1), 0.7)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.factorization import QUALITY
+
+    return _scored(spark, sf_dir, "quality", QUALITY, (5, 0), 0.3)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from opinara.llm.sentencepiece_bpe import encode_decode, read_model
+
+    model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_decode(_table(spark, sf_dir, "documents"), model, digests=True)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opinara.llm.line_dedup import dedup_lines
 
@@ -43,7 +73,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op7_quality": op7_quality,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }

@@ -68,11 +68,12 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.fromiter((fingerprint(t, shingle) for t in b["text"]), np.int64, len(b))})
+            yield pd.Series(np.fromiter((fingerprint(t, shingle) for t in b), np.int64, len(b)))
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", fp("text").alias("fp"))
 
 
 def trie_join(tree: np.ndarray, path: np.ndarray, budget: np.ndarray, side: np.ndarray, bits: int = 32) -> np.ndarray:
