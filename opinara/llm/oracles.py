@@ -35,4 +35,15 @@ SELECT d.doc_id, CAST(h.n_lines AS BIGINT) AS n_lines, CAST(h.n_dropped AS BIGIN
 FROM d JOIN h USING (k)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op5_line_dedup": OP5}
+OP6 = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, payload_bytes, max(page_id) AS largest FROM p GROUP BY ALL)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST(concat('0x', substr(h, CAST(5 * (i // 4) + 1 AS INT), 5)) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM p JOIN g USING (h, payload_bytes)
+"""
+
+ORACLES = {"op6_warc": OP6, "op1_decontaminate": OP1, "op5_line_dedup": OP5}

@@ -56,6 +56,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"), min_revisit_bytes=0).drop("url")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opinara.llm.quality_rules import apply_rules
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
