@@ -19,6 +19,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.pii import BASE, find_pii, fit_trees
+
+    got = find_pii(_table(spark, sf_dir, "documents"), fit_trees(spark))
+    tag = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base, added = F.transform("base", tag), F.transform("added", tag)
+    count = [F.regexp_count("b", F.lit(rf"\b{k}:")).cast("long").alias(f"n_{k}") for k in BASE]
+    return got.select("doc_id", F.array_join(base, ",").alias("b"), F.array_join(F.concat(base, added), ",").alias("spans")).select(
+        "doc_id", *count, F.sha2("b", 256).alias("base_sha256"), "spans"
+    )
+
+
 def _scored(spark: SparkSession, sf_dir: str, label: str, terms, fold: tuple[int, int], cut: float) -> DataFrame:
     from opinara.llm.factorization import in_fold, score, train
 
@@ -79,6 +91,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
