@@ -284,8 +284,8 @@ def redact(found: DataFrame, mark: str = "[{}]") -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        new = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["col1"] - a["at"]), F.concat(F.lit(mark.split("{}")[0]), s["col3"], F.lit(mark.split("{}")[1])))
-        later = s["col1"] >= a["at"]
-        return F.struct(F.when(later, s["col2"]).otherwise(a["at"]).alias("at"), F.when(later, new).otherwise(a["out"]).alias("out"))
+        new = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit(mark.split("{}")[0]), s["kind"], F.lit(mark.split("{}")[1])))
+        later = s["start"] >= a["at"]
+        return F.struct(F.when(later, s["end"]).otherwise(a["at"]).alias("at"), F.when(later, new).otherwise(a["out"]).alias("out"))
 
     return found.select("doc_id", F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))).alias("text"))

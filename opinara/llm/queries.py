@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.crf import KINDS, find_secrets, fit_tagger
+
+    got = find_secrets(_table(spark, sf_dir, "documents"), fit_tagger())
+    tag = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    count = [_of_kind(k) for k in KINDS[:3]]
+    rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], rank(s), tag(s).alias("tag"))))
+    return got.select(
+        "doc_id", *count, F.sha2(F.array_join(F.transform("base", tag), ","), 256).alias("base_sha256"), F.array_join(F.transform(every, lambda s: s["tag"]), ",").alias("spans")
+    )
+
+
+def _of_kind(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opinara.llm.pii import BASE, find_pii, fit_trees
 
@@ -91,6 +108,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_secrets": op2_secrets,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
