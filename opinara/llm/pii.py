@@ -60,16 +60,18 @@ STRUCT = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def matches(text: Column, kind: str, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with positions: what lies between them, summed up, gives the starts."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b"))
+    """Leftmost non-overlapping matches with positions: what lies between them, summed up, gives the starts.
+
+    There is one piece more than matches, so the last pair has a null match and adds nothing.
+    """
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
     none = F.struct(F.lit(0).alias("at"), F.array().cast(STRUCT).alias("spans"))
 
     def step(a: Column, p: Column) -> Column:
         start = (a["at"] + F.length(p["b"])).cast("int")
         end = (start + F.length(p["m"])).cast("int")
         one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(one)).alias("spans"))
+        return F.when(p["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["spans"], F.array(one)).alias("spans")))
 
     return F.aggregate(pairs, none, step, lambda a: a["spans"])
 
