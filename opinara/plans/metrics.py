@@ -69,11 +69,11 @@ def classification_report(df: DataFrame, by: str, reference: str = "reference",
 
 def fleiss_kappa(ratings: DataFrame, subject: str, category: str) -> DataFrame:
     """Agreement over subjects with the same number (two or more) of ratings each."""
-    cells = ratings.groupBy(subject, category).agg(F.count(F.lit(1)).alias("n"))
-    subj = cells.groupBy(subject).agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("a"))
-    observed = subj.agg(F.avg(F.col("a") / (F.col("m") * (F.col("m") - 1))).alias("po"))
-    cats = cells.groupBy(category).agg(F.sum("n").alias("c"))
-    expected = cats.agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("pe"))
+    cells = ratings.groupBy(subject, category).agg(F.count(F.lit(1)).alias("_n"))
+    subj = cells.groupBy(subject).agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * (F.col("_n") - 1)).alias("_a"))
+    observed = subj.agg(F.avg(F.col("_a") / (F.col("_m") * (F.col("_m") - 1))).alias("po"))
+    cats = cells.groupBy(category).agg(F.sum("_n").alias("_c"))
+    expected = cats.agg((F.sum(F.col("_c") * F.col("_c")) / (F.sum("_c") * F.sum("_c"))).alias("pe"))
     return observed.join(F.broadcast(expected)).select(((F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
@@ -97,12 +97,12 @@ def leaveout_polarization(tokens: DataFrame, doc: str, side: str, token: str) ->
 
     tokens: a row for each distinct (doc, token); ``side`` is boolean. Tokens of one document are left out.
     """
-    docs = tokens.select(doc, side).distinct().groupBy().agg(F.count_if(F.col(side)).alias("na"), F.count_if(~F.col(side)).alias("nb"))
-    df = tokens.groupBy(token).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b")).where(F.col("a") + F.col("b") >= 2)
+    docs = tokens.select(doc, side).distinct().groupBy().agg(F.count_if(F.col(side)).alias("_na"), F.count_if(~F.col(side)).alias("_nb"))
+    df = tokens.groupBy(token).agg(F.count_if(F.col(side)).alias("_a"), F.count_if(~F.col(side)).alias("_b")).where(F.col("_a") + F.col("_b") >= 2)
     each = tokens.join(df, token).join(F.broadcast(docs))
     own = F.when(F.col(side), 1).otherwise(0)
-    qa = (F.col("a") - own) / F.greatest(F.col("na") - own, F.lit(1))
-    qb = (F.col("b") - (1 - own)) / F.greatest(F.col("nb") - (1 - own), F.lit(1))
+    qa = (F.col("_a") - own) / F.greatest(F.col("_na") - own, F.lit(1))
+    qb = (F.col("_b") - (1 - own)) / F.greatest(F.col("_nb") - (1 - own), F.lit(1))
     rho = F.when(qa + qb > 0, qa / (qa + qb)).otherwise(0.5)
     per = each.withColumn("_post", F.when(F.col(side), rho).otherwise(1 - rho)).groupBy(doc, side).agg(F.avg("_post").alias("p"))
     return per.groupBy(side).agg(F.avg("p").alias("p")).agg(F.avg("p").alias("polarization"))
