@@ -43,6 +43,7 @@ class Terms:
     of_token: Callable[[str], Iterable[str]]
     of_text: Callable[[str, list[str]], Iterable[str]]
     bits: int = 20
+    max_terms: int = 2048
 
     def reader(self, index: dict[int, int] | None = None) -> Callable[[str | None], set[int]]:
         """A function from text to ids: hashed, or positions in ``index``, which leaves out the others."""
@@ -111,7 +112,7 @@ def quality_text(text: str, tokens: list[str]) -> list[str]:
 
 
 TOXICITY = Terms(toxic_token, lambda text, tokens: ())
-QUALITY = Terms(quality_token, quality_text)
+QUALITY = Terms(quality_token, quality_text, max_terms=512)
 
 
 @dataclass
@@ -142,39 +143,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(terms: Terms, sets: list[np.ndarray], y: np.ndarray, factors: int = 4, max_terms: int = 4096, min_chi2: float = 14.0, steps: int = 400, decay: float = 2e-4, seed: int = 7) -> Machine:
+def fit(terms: Terms, sets: list[np.ndarray], y: np.ndarray, factors: int = 4, max_terms: int | None = None, min_chi2: float = 14.0, steps: int = 200, decay: float = 2e-4, seed: int = 7) -> Machine:
     """Fit on hashed term sets ``sets`` with labels ``y``; the same input gives the same machine."""
     n = len(y)
     base = float(y.mean()) if n else 0.5
     w0 = float(np.log(max(base, 1e-6) / max(1 - base, 1e-6)))
     if n == 0 or base in (0.0, 1.0):
         return Machine(terms, {}, w0, np.zeros(1), np.zeros((1, factors)))
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
     dim, pos = 1 << terms.bits, y.sum()
-    df, hit = np.bincount(flat, minlength=dim), np.bincount(flat, y[row], minlength=dim)
+    df, hit = np.zeros(dim), np.zeros(dim)
+    for s, label in zip(sets, y, strict=True):  # a set's ids are distinct; no array of all terms is made
+        df[s] += 1
+        if label:
+            hit[s] += label
     want = df * (pos / n)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = (hit - want) ** 2 / want + (hit - want) ** 2 / (df - want) + (hit - want) ** 2 / np.maximum(n - df, 1) * (1 / (pos / n) + 1 / (1 - pos / n))
     chi2[df < 3] = 0
-    best = np.argsort(-np.nan_to_num(chi2), kind="stable")[:max_terms]
+    best = np.argsort(-np.nan_to_num(chi2), kind="stable")[: max_terms or terms.max_terms]
     best = best[chi2[best] >= min_chi2]
     index = {int(h): i for i, h in enumerate(best)}
     place = np.full(dim, -1)
     place[best] = np.arange(len(best))
-    ok = place[flat] >= 0
-    at, row = place[flat[ok]], row[ok]
+    kept = [k[k >= 0] for k in (place[s] for s in sets)]
+    at, row = np.concatenate(kept), np.repeat(np.arange(n), [len(k) for k in kept])
     d = max(1, len(best))
     w, v = np.zeros(d), np.random.default_rng(seed).normal(0, 0.02, (d, factors))
     params = [np.array([w0]), w, v]
-    m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    m, sq = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
         sums = [np.bincount(row, v[at, f], n) for f in range(factors)]
         g = (sigmoid(_logits(params[0][0], w, v, at, row, n)) - y) / n
         gr = g[row]
         gw = np.bincount(at, gr, d) + decay * w
         gv = np.stack([np.bincount(at, gr * (sums[f][row] - v[at, f]), d) for f in range(factors)], 1) + decay * v
-        for p, grad, m1, s1 in zip(params, (np.array([g.sum()]), gw, gv), m, s, strict=True):
+        for p, grad, m1, s1 in zip(params, (np.array([g.sum()]), gw, gv), m, sq, strict=True):
             m1 += 0.1 * (grad - m1)
             s1 += 0.01 * (grad * grad - s1)
             p -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(s1 / (1 - 0.99**t)) + 1e-9)
@@ -205,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: Terms, held_out: tuple[int,
 
     got = rows.mapInPandas(read, "doc_id string, label int, terms binary").toPandas()
     got = got.sort_values(["doc_id", "terms"], kind="stable")
-    return fit(terms, [np.frombuffer(x, np.int32).astype(np.int64) for x in got["terms"]], got["label"].to_numpy(float))
+    return fit(terms, [np.frombuffer(x, np.int32) for x in got["terms"]], got["label"].to_numpy(float))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
