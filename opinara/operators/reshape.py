@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.storage import shared
+
 
 def ensure_id(df: DataFrame, text_column: str = "text", id_column: str = "ID") -> DataFrame:
     """Check the text column; number the rows if they have no id."""
@@ -55,9 +57,9 @@ def diagonal_union(*frames: DataFrame) -> DataFrame:
 def positional_split(df: DataFrame, order: str, fractions: dict[str, float]) -> DataFrame:
     """Label rows by their position in ``order``: consecutive parts of the given fractions, the last takes the rest.
 
-    Positions come from ranks within range partitions plus the partitions' offsets, not from one global window.
+    The order must be total. Positions come from ranks within range partitions plus the partitions' offsets, not from one global window.
     """
-    ranged = df.select("*", F.lit(0).alias("_one")).repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    ranged = shared(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))  # ranges are drawn once
     sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     total, offsets, at = sum(sizes.values()), [], 0
     for p in sorted(sizes):

@@ -132,12 +132,19 @@ def group_mode(spark, d):
 
 @query(f"WITH {S}, q AS (SELECT target, id, row_number() OVER (PARTITION BY target ORDER BY id) AS r, count(*) OVER (PARTITION BY target) AS n FROM s) SELECT target, max(id) FILTER (r = 1 + round(0.25 * (n - 1))) AS q1, max(id) FILTER (r = 1 + round(0.5 * (n - 1))) AS q2, max(id) FILTER (r = 1 + round(0.75 * (n - 1))) AS q3 FROM q GROUP BY target")
 def quantiles_nearest(spark, d):
-    """Nearest-rank quantiles from value counts: the window runs over distinct values with their cumulative counts."""
-    c = stance_long(spark, d).groupBy("target", "id").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("target").orderBy("id")
-    cum = c.select("target", "id", F.sum("c").over(w).alias("hi"), (F.sum("c").over(w) - F.col("c")).alias("lo"), F.sum("c").over(Window.partitionBy("target")).alias("n"))
-    at = lambda q: 1 + F.round(F.lit(q) * (F.col("n") - 1))
-    return cum.groupBy("target").agg(*[F.max(F.when((at(q) > F.col("lo")) & (at(q) <= F.col("hi")), F.col("id"))).alias(name) for q, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+    """Nearest-rank quantiles. Counts of 256 equal value ranges find the range of each rank; only that range's values are ranked."""
+    s = stance_long(spark, d).select("target", "id")
+    n = s.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    part = F.floor(256 * (F.col("id") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1))
+    rows = s.join(n, "target").withColumn("part", part)
+    cum = F.sum("c").over(Window.partitionBy("target").orderBy("part"))
+    parts = rows.groupBy("target", "part", "n").agg(F.count(F.lit(1)).alias("c")).select("target", "part", "n", "c", (cum - F.col("c")).alias("before"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("q"), (1 + F.round(F.lit(q) * (F.col("n") - 1))).cast("long").alias("rank")) for q, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+    want = parts.select("target", "part", "before", "c", F.inline(ranks)).where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("c")))
+    inside = rows.select("target", "part", "id").join(want.select("target", "part", "before").distinct(), ["target", "part"])
+    ranked = inside.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("target", "part").orderBy("id")))
+    hit = ranked.select("target", "id", "rank").join(want.select("target", "q", "rank"), ["target", "rank"])
+    return hit.groupBy("target").agg(*[F.max(F.when(F.col("q") == q, F.col("id"))).alias(q) for q in ("q1", "q2", "q3")])
 
 
 # --- trends --------------------------------------------------------------------------------------
@@ -266,10 +273,11 @@ def stream_features(spark, d):
     return dashboard.stream_features(t, ["click", "view"]).withColumns({c: F.round(c, 6) for c in ("click", "view")})
 
 
-@query("WITH p AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) SELECT label, vec_id, round(x - lag(x) OVER w, 6) AS u, round(y - lag(y) OVER w, 6) AS v FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id)")
+@query("WITH p AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) SELECT label, vec_id, round(x - lag(x) OVER w, 6) AS u, round(y - lag(y) OVER w, 6) AS v FROM p WINDOW w AS (PARTITION BY label, vec_id // 100 ORDER BY vec_id)")
 def flow_field(spark, d):
     p = table(spark, d, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return dashboard.flow_field(p, "label", "vec_id").select("label", "vec_id", r6(F.col("u"), "u"), r6(F.col("v"), "v"))
+    p = p.withColumn("series", F.concat_ws("/", "label", F.floor(F.col("vec_id") / 100)))  # short series, as trends by day are
+    return dashboard.flow_field(p, "series", "vec_id", ["label"]).select("label", "vec_id", r6(F.col("u"), "u"), r6(F.col("v"), "v"))
 
 
 @query(f"WITH {S}, n AS (SELECT target, count(*) FILTER (author % 2 = 0) AS a, count(*) FILTER (author % 2 = 1) AS b FROM s GROUP BY 1) SELECT round(sum(abs(a / (SELECT CAST(sum(a) AS DOUBLE) FROM n) - b / (SELECT CAST(sum(b) AS DOUBLE) FROM n))) / 2, 6) AS total_variation FROM n")

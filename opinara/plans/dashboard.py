@@ -70,9 +70,9 @@ def stream_features(trend: DataFrame, targets: list[str]) -> DataFrame:
     return wide.select("filter_value", "day", *[F.when(full, F.avg(F.coalesce(F.col(f"`{t}`"), F.lit(0.0))).over(w)).otherwise(0.0).alias(t) for t in targets])
 
 
-def flow_field(points: DataFrame, by: str, order: str) -> DataFrame:
+def flow_field(points: DataFrame, by: str, order: str, keep: list[str] | None = None) -> DataFrame:
     w = Window.partitionBy(by).orderBy(order)
-    return points.select(by, order, "x", "y", (F.col("x") - F.lag("x").over(w)).alias("u"), (F.col("y") - F.lag("y").over(w)).alias("v"))
+    return points.select(by, order, *(keep or []), "x", "y", (F.col("x") - F.lag("x").over(w)).alias("u"), (F.col("y") - F.lag("y").over(w)).alias("v"))
 
 
 def total_variation(long: DataFrame, a: str, b: str) -> DataFrame:
