@@ -32,12 +32,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays; of repeated rows one. Null ids go with their group, but a group of null ids alone keeps one row."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # ids are hashed to a key that is never null, so null ids are matched too
-    key = "_id_key"
-    one = docs.select(*COLUMNS).withColumn(key, F.xxhash64("doc_id")).join(kept.select(F.xxhash64("doc_id").alias(key)), key)
-    return one.dropDuplicates([key]).select(*COLUMNS)
+    """Of each group of near copies the document of least id stays (a null id only where the group has no other); of repeated rows one."""
+    rows = near_duplicates(docs, keys=True)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("s"))
+    kept = first.select(*[F.col(f"s.{k}").alias(k) for k in KEY])
+    return with_key(docs.select(*COLUMNS)).join(kept, list(KEY), "left_semi").dropDuplicates(list(KEY)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import drop_table, id_and_text, table_path, written
+from opinara.llm.common import KEY, drop_table, id_and_text, table_path, with_key, written
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 #: Python's own split would also cut at other white space.
@@ -66,14 +66,14 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row."""
+    """``fp`` for each row, next to the columns other than the text."""
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series(np.fromiter((fingerprint(t, shingle) for t in b), np.int64, len(b)))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select(*[c for c in docs.columns if c != "text"], fp("text").alias("fp"))
 
 
 def trie_join(tree: np.ndarray, path: np.ndarray, budget: np.ndarray, side: np.ndarray, bits: int = 32) -> np.ndarray:
@@ -281,9 +281,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, max_tree: int = 20_000) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp (signed 64 bits) and component_id, the least doc_id of its component."""
-    prints = written(fingerprints(id_and_text(docs, id_col, text_col), shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, max_tree: int = 20_000, keys: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, fp (signed 64 bits) and component_id, the least doc_id of its component.
+
+    With ``keys`` also the row key and ``root``, a fingerprint that names the component.
+    """
+    own = id_and_text(docs, id_col, text_col)
+    prints = written(fingerprints(with_key(own) if keys else own, shingle), "fingerprints")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     distinct = written(prints.withColumn("_s", salt).groupBy("fp").agg(F.min("doc_id").alias("least"), F.collect_set("_s").alias("_ss")), "distinct")
     joined = components(written(near_links(distinct.select("fp"), budget, max_tree), "links"))
@@ -293,4 +297,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = root.withColumn("_r", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(
         least.select("root", "component_id", F.explode("_rs").alias("_r")), ["root", "_r"]
     )
-    return prints.withColumn("_s", salt).join(of.select("fp", "component_id", F.explode("_ss").alias("_s")), ["fp", "_s"]).select("doc_id", "fp", "component_id")
+    out = prints.withColumn("_s", salt).join(of.select("fp", "root", "component_id", F.explode("_ss").alias("_s")), ["fp", "_s"])
+    return out.select("doc_id", "fp", "component_id", *((*KEY, "root") if keys else ()))
