@@ -206,9 +206,12 @@ def train(docs: DataFrame, labels: DataFrame, terms: Terms, held_out: tuple[int,
             found = [np.sort(np.fromiter(get(t), np.int32)).tobytes() for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "label": b["label"].astype(int), "terms": found})
 
-    got = rows.mapInPandas(read, "doc_id string, label int, terms binary").toPandas()
-    got = got.sort_values(["doc_id", "terms"], kind="stable")
-    return fit(terms, [np.frombuffer(x, np.int32) for x in got["terms"]], got["label"].to_numpy(float))
+    got = rows.mapInPandas(read, "doc_id string, label int, terms binary").toArrow()
+    # views of the Arrow buffers: the driver holds each set once
+    sets = [np.frombuffer(x.as_buffer(), np.int32) if x.is_valid and len(x.as_buffer()) else np.zeros(0, np.int32) for chunk in got["terms"].chunks for x in chunk]
+    ids, y = got["doc_id"].to_pylist(), got["label"].to_numpy().astype(float)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(sets[i]), zlib.crc32(sets[i])))
+    return fit(terms, [sets[i] for i in order], y[order])
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
