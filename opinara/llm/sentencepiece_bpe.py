@@ -100,7 +100,8 @@ class Model:
         self.order = {i: tied.setdefault(scores[i], r) for r, i in enumerate(order)}
         self.parts: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known: dict[int, bool] = {}
+        self.whole: dict[str, int] = {}
         # a piece is made by its last merge; one that the merges never make whole is no token of any text
         for i in sorted(self.ids.values(), key=lambda i: (len(self.pieces[i]), i)):
             p = self.pieces[i]
@@ -109,9 +110,13 @@ class Model:
                 if not whole:
                     continue
                 self.parts[i] = last
-            self.automaton.add_word(p, i)
+            self.automaton.add_word(p, (len(p), i))
+            self.whole[p] = i
         self.automaton.make_automaton()
         self.texts = [p.replace(MARK, " ") if k == NORMAL else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
+        # for decode's short way; None sends it the long way
+        self.plain = [t if k == NORMAL else None for t, k in zip(self.texts, self.kinds, strict=True)]
+        self.decimal = [str(i) for i in range(len(self.pieces))]
         self.byte_of = {i: b for b, i in self.bytes_.items()}
 
     def _merge(self, word: str) -> tuple[bool, tuple[int, int]]:
@@ -132,11 +137,9 @@ class Model:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``left right`` is how their joined text is encoded."""
-        got = self._known.get((left, right))
-        if got is None:
-            if len(self._known) >= 4 * CACHE:
-                self._known.clear()
-            got = self._known[left, right] = self._compatible(left, right)
+        if len(self._known) >= 4 * CACHE:
+            self._known.clear()
+        got = self._known[left << 20 | right] = self._compatible(left, right)
         return got
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -160,21 +163,18 @@ class Model:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a word: the prefix table is filled from left to right and read from right to left."""
-        if len(word) == 1 and word in self.ids:
-            return [self.ids[word]]
+        if (i := self.whole.get(word)) is not None:
+            return [i]
         n = len(word)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, i in self.automaton.iter(word):
-            ends[end + 1].append((len(self.pieces[i]), i))
-        last = [-1] * (n + 1)
-        size = [1] * (n + 1)
-        for e in range(1, n + 1):
-            for length, i in sorted(ends[e], reverse=True):
-                before = last[e - length]
+        last, size = [-1] * (n + 1), [1] * (n + 1)
+        known = self._known.get
+        # the automaton reports the tokens that end at a place longest first: the first that fits is the last token there
+        for end, (length, i) in self.automaton.iter(word):
+            if last[end + 1] < 0:
+                before = last[end + 1 - length]
                 # -1: a character without a piece, or the start; nothing merges with it
-                if before < 0 or self.compatible(before, i):
-                    last[e], size[e] = i, length
-                    break
+                if before < 0 or ((fits := known(before << 20 | i)) is None and self.compatible(before, i)) or fits:
+                    last[end + 1], size[end + 1] = i, length
         out: list[int] = []
         e = n
         while e:
@@ -197,6 +197,11 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are joined to characters, U+FFFD for each byte that fits none, and the front space goes."""
+        try:
+            out = "".join([self.plain[i] for i in ids])
+            return out[1:] if out.startswith(" ") else out
+        except TypeError:
+            pass  # bytes or special tokens among them
         texts, byte_of = self.texts, self.byte_of
         parts: list[str] = []
         run = bytearray()
@@ -233,6 +238,40 @@ def _characters(raw: bytes) -> str:
         return "".join(out)
 
 
+class _Coder:
+    """A model with its cache of words: word -> (number of ids, ids as text, decoded text)."""
+
+    def __init__(self, model: bytes):
+        self.model = Model(model)
+        self.front = self.model.ids[MARK]
+        self.cache: dict[str, tuple[int, str, str]] = {}
+
+    def word(self, w: str) -> tuple[int, str, str]:
+        got = self.cache.get(w)
+        if got is None:
+            m = self.model
+            ids = m.encode_word(w)
+            # decode cuts a space in front, so the word is given one more
+            got = (len(ids), ",".join([m.decimal[i] for i in ids]), m.decode([self.front, *ids]))
+            if len(w) <= CACHE_CHARS:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[w] = got
+        return got
+
+
+_coders: dict[bytes, _Coder] = {}
+
+
+def _coder(model: bytes) -> _Coder:
+    """The worker's coder for a model: tables and cached words serve all its tasks."""
+    key = hashlib.sha256(model).digest()
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = _Coder(model)
+    return _coders[key]
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -241,38 +280,25 @@ def read_model(path: str) -> bytes:
 def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Per row: doc_id, ids (array<int>) and decoded; with ``digests`` instead n_tokens, ids_sha256 and decoded_sha256.
 
-    The model's bytes travel with the task; each worker builds the tables once for each task.
+    The model's bytes travel with the task; each worker builds the tables once.
     """
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = Model(model)
-        cache: dict[str, tuple[list[int], str, str]] = {}
-
-        def coded(w: str) -> tuple[list[int], str, str]:
-            got = cache.get(w)
-            if got is None:
-                ids = m.encode_word(w)
-                # decode cuts a space in front, so the word is given one more
-                got = (ids, ",".join(map(str, ids)), m.decode([m.ids[MARK], *ids]))
-                if len(w) <= CACHE_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = got
-            return got
-
+        coder = _coder(model)
+        coded, words_of = coder.word, coder.model.words
         for b in batches:
             rows = []
             for text in b:
-                words = [coded(w) for w in m.words(text)]
+                words = [coded(w) for w in words_of(text)]
                 decoded = "".join([w[2] for w in words])
                 decoded = decoded[1:] if decoded.startswith(" ") else decoded
                 if digests:
                     ids = ",".join([w[1] for w in words])
-                    rows.append((sum([len(w[0]) for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+                    rows.append((sum([w[0] for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
                 else:
-                    rows.append(([i for w in words for i in w[0]], decoded))
+                    rows.append(([int(i) for w in words for i in w[1].split(",")], decoded))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])
 
     return id_and_text(docs, id_col, text_col).select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
