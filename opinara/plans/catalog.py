@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import arrays, labels, text
 from opinara.operators import reshape, similarity
-from opinara.plans import dashboard, metrics, trends
+from opinara.plans import dashboard, experiments, metrics, topics, trends
 from opinara.plans.pipeline import StancePipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -514,3 +514,54 @@ def stance_pipeline(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("ID"), "text")
     out = StancePipeline().fit_transform(docs)
     return out.select("ID", F.array_join("Targets", ",").alias("targets"), F.array_join("Stances", ",").alias("stances"))
+
+
+# --- topics and experiments ----------------------------------------------------------------------
+
+
+@query(f"WITH {E}, x AS (SELECT label, unnest(range(64)) AS i, unnest(n) AS x FROM u), z AS (SELECT label, i, sum(x) AS s, count(*) AS n FROM x GROUP BY ALL) SELECT label, max(n) AS n, round((sum(s * s) - max(n)) / 2 / (max(n) * max(n)), 6) AS distance FROM z GROUP BY label")
+def mean_pair_cosine(spark, d):
+    return metrics.mean_pair_cosine(vectors(spark, d), "label", "v").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {E}, x AS (SELECT label, vec_id % 2 = 0 AS side, unnest(range(64)) AS i, unnest(n) AS x, 1 + vec_id % 3 AS w FROM u), m AS (SELECT label, side, i, sum(w * x) / sum(w) AS m FROM x GROUP BY ALL) SELECT a.label, round(0.5 * (1 - sum(a.m * b.m)), 6) AS polarization FROM m a JOIN m b ON a.label = b.label AND a.i = b.i AND NOT a.side AND b.side GROUP BY 1")
+def topic_polarization(spark, d):
+    v = vectors(spark, d).withColumn("side", F.col("vec_id") % 2 == 0).withColumn("w", (1 + F.col("vec_id") % 3).cast("double"))
+    return topics.topic_polarization(v, "label", "side", "w", "v", max_docs=10_000).withColumn("polarization", F.round("polarization", 6))
+
+
+@query("SELECT source, round(CAST((SELECT count(*) FROM documents) AS DOUBLE) / ((SELECT count(DISTINCT source) FROM documents) * count(*)), 6) AS weight FROM documents GROUP BY source")
+def class_weights(spark, d):
+    return experiments.class_weights(table(spark, d, "documents"), "source").withColumn("weight", F.round("weight", 6))
+
+
+@query("WITH c AS (SELECT lang, source, count(*) AS m FROM documents GROUP BY ALL), k AS (SELECT lang, CAST(substr(source, 4) AS INT) AS t, CAST(m AS DOUBLE) AS m FROM c) SELECT k.lang, k.t, k.m, round(k.m / b.m - 1, 6) AS change FROM k JOIN k b ON k.lang = b.lang AND b.t = 0")
+def threshold_sensitivity(spark, d):
+    k = table(spark, d, "documents").groupBy("lang", F.expr("cast(substr(source, 4) as int)").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    return experiments.threshold_sensitivity(k, "lang", "t", "m").withColumn("change", F.round("change", 6))
+
+
+@query(f"WITH {S}, g AS (SELECT target, round(avg(y), 6) AS mean_stance, count(*) AS n FROM s GROUP BY 1) SELECT target, n, round(10 + 90 * CASE WHEN (SELECT max(n) > min(n) FROM g) THEN (n - (SELECT min(n) FROM g)) / CAST((SELECT max(n) - min(n) FROM g) AS DOUBLE) ELSE 0 END, 6) AS size FROM g")
+def scaled_sizes(spark, d):
+    return dashboard.scaled_sizes(dashboard.semantic_map(stance_long(spark, d)), 10.0, 90.0 + 10.0).select("target", "n", r6(F.col("size"), "size"))
+
+
+@query()
+def topic_clusters(spark, d):
+    """Target clusters of the document targets with keyphrases and exemplars."""
+    counts = doc_targets(spark, d).select(F.explode("Targets").alias("Target")).groupBy("Target").agg(F.count(F.lit(1)).alias("Count"))
+    t = StancePipeline().vectors(counts).join(counts, "Target")
+    c = topics.cluster_targets(t, 0.75)
+    return topics.exemplars(c).join(topics.keyphrases(c), "Cluster")
+
+
+@query()
+def bradley_terry(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_orderpriority").alias("w"), F.lag("o_orderpriority").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("l")).where("w <> l")
+    return spark.createDataFrame(sorted(experiments.bradley_terry(p, "w", "l").items()), "method string, strength double")
+
+
+@query()
+def bleu_targets(spark, d):
+    t = doc_targets(spark, d).where(F.size("Targets") > 1)
+    return metrics.bleu_targets(t, "Targets", "Targets").select("precision", "recall", "f1")

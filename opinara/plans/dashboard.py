@@ -93,3 +93,39 @@ def pca(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
 
     v = VectorAssembler(inputCols=columns, outputCol="_f").transform(df)
     return PCA(k=k, inputCol="_f", outputCol="_p").fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_f", "_p")
+
+
+def projection(points: DataFrame, top: int = 10_000) -> DataFrame:
+    """The most frequent targets of a 2-D projection."""
+    return points.orderBy(F.desc("n"), "target").limit(top)
+
+
+def significant_flows(flow: DataFrame, first: int = 200, least: float = 0.05) -> DataFrame:
+    return flow.limit(first).where(F.sqrt(F.col("u") ** 2 + F.col("v") ** 2) > least)
+
+
+def top_loadings(loadings: dict[str, list[float]], component: int, top: int = 3) -> list[tuple[str, float]]:
+    """The features of largest absolute loading on a component."""
+    return sorted(((k, v[component]) for k, v in loadings.items()), key=lambda x: (-abs(x[1]), x[0]))[:top]
+
+
+def transition_totals(flows: DataFrame) -> DataFrame:
+    """Flows by unordered pair: both directions are summed."""
+    return flows.groupBy(F.least("from_target", "to_target").alias("a"), F.greatest("from_target", "to_target").alias("b")).agg(F.sum("transition_count").alias("n"))
+
+
+def focus_shift(shares: DataFrame, least: float = 0.1) -> DataFrame:
+    """Targets whose share changed by at least ``least``, largest change first. shares: target, before, after."""
+    return shares.withColumn("shift", F.col("after") - F.col("before")).where(F.abs("shift") >= least).orderBy(F.desc(F.abs("shift")), "target")
+
+
+def colour_range(stats: DataFrame) -> DataFrame:
+    """The colour scale's end: the largest absolute mean, or 1 once that is over a half."""
+    return stats.agg(F.max(F.abs("mean_stance")).alias("m")).select(F.when(F.col("m") > 0.5, 1.0).otherwise(F.col("m")).alias("vmax"))
+
+
+def scaled_sizes(stats: DataFrame, low: float, high: float) -> DataFrame:
+    """Counts scaled to [low, high]."""
+    r = stats.agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+    span = F.when(F.col("_hi") > F.col("_lo"), (F.col("n") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    return stats.join(F.broadcast(r)).withColumn("size", low + (high - low) * span).drop("_lo", "_hi")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.functions.arrays import dot, normalise
 from opinara.operators.reshape import average_rank
 
 
@@ -106,3 +111,57 @@ def leaveout_polarization(tokens: DataFrame, doc: str, side: str, token: str) ->
     rho = F.when(qa + qb > 0, qa / (qa + qb)).otherwise(0.5)
     per = each.withColumn("_post", F.when(F.col(side), rho).otherwise(1 - rho)).groupBy(doc, side).agg(F.avg("_post").alias("p"))
     return per.groupBy(side).agg(F.avg("p").alias("p")).agg(F.avg("p").alias("polarization"))
+
+
+def mean_pair_cosine(df: DataFrame, by: str, vector: str) -> DataFrame:
+    """(by, n, distance): the sum of cosines over a group's pairs, divided by n squared.
+
+    For unit vectors the sum over pairs is (|sum of vectors|^2 - n) / 2: no pair is made, and a large group is summed partly before it is shuffled.
+    """
+    unit = df.select(by, F.posexplode(normalise(F.col(vector))).alias("_i", "_x"))
+    sums = unit.groupBy(by, "_i").agg(F.sum("_x").alias("s"), F.count(F.lit(1)).alias("n"))
+    return sums.groupBy(by).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q")).select(by, "n", ((F.col("q") - F.col("n")) / 2 / (F.col("n") * F.col("n"))).alias("distance"))
+
+
+def multilabel_similarity_f1(pred: DataFrame, gold: DataFrame, doc: str, vector: str) -> DataFrame:
+    """Mean over documents of precision, recall and F1 of best cosines between a document's predicted and gold targets."""
+    p, g = pred.select(doc, F.monotonically_increasing_id().alias("pi"), normalise(F.col(vector)).alias("p")), gold.select(doc, F.monotonically_increasing_id().alias("gi"), normalise(F.col(vector)).alias("g"))
+    s = p.join(g, doc).select(doc, "pi", "gi", dot(F.col("p"), F.col("g")).alias("s"))
+    best = lambda i, name: s.groupBy(doc, i).agg(F.max("s").alias("m")).groupBy(doc).agg(F.avg("m").alias(name))
+    both = best("pi", "p").join(best("gi", "r"), doc)
+    return both.agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).alias("f1"))
+
+
+def bleu(candidate: list[str], references: list[list[str]], order: int = 4) -> float:
+    """Sentence BLEU of effective order: n-grams beyond the candidate's length are left out."""
+    logs = []
+    for n in range(1, min(order, len(candidate)) + 1):
+        grams = Counter(tuple(candidate[i : i + n]) for i in range(len(candidate) - n + 1))
+        most: Counter = Counter()
+        for r in references:
+            most |= Counter(tuple(r[i : i + n]) for i in range(len(r) - n + 1))
+        hit = sum(min(c, most[g]) for g, c in grams.items())
+        if not hit:
+            return 0.0
+        logs.append(math.log(hit / sum(grams.values())))
+    if not logs:
+        return 0.0
+    near = min((len(r) for r in references), key=lambda x: (abs(x - len(candidate)), x))
+    return math.exp(sum(logs) / len(logs)) * min(1.0, math.exp(1 - near / len(candidate)))
+
+
+def bleu_targets(docs: DataFrame, predicted: str, gold: str) -> DataFrame:
+    """Mean over documents of BLEU precision, recall and F1 of target lists; each target is a sentence of words."""
+
+    @F.pandas_udf("p double, r double, f double")
+    def score(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(pred, ref, strict=True):
+            a, b = [x.split() for x in a], [x.split() for x in b]
+            p = sum(bleu(x, b) for x in a) / len(a) if a and b else 0.0
+            r = sum(bleu(x, a) for x in b) / len(b) if a and b else 0.0
+            out.append((p, r, 2 * p * r / (p + r) if p + r else 0.0))
+        return pd.DataFrame(out, columns=["p", "r", "f"])
+
+    s = docs.select(score(predicted, gold).alias("s"))
+    return s.agg(F.avg("s.p").alias("precision"), F.avg("s.r").alias("recall"), F.avg("s.f").alias("f1"))
