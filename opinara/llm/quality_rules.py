@@ -1,11 +1,11 @@
 """Quality rules with risk-controlled thresholds (DataFrame operations only).
 
 Each rule compares one statistic of a text with a cutoff and rejects texts beyond it. Cutoffs are
-chosen on labelled documents so that, in every stratum, the share of good documents that a rule rejects is at
-most ``risk``, with confidence 1 - ``delta`` for all rules, cutoffs and strata together: for every
-candidate cutoff the false rejections among the stratum's good documents are counted, an exact
+chosen on labelled documents so that, in every stratum, the share of good documents that the rules reject is at
+most ``risk``, with confidence 1 - ``delta`` for all rules, cutoffs and strata together: each rule gets an
+equal share of the risk; for every candidate cutoff the false rejections among the stratum's good documents are counted, an exact
 binomial (Clopper-Pearson) upper bound is taken at level ``delta`` / number of tests (Bonferroni),
-and the strictest cutoff whose bound is at most ``risk`` wins. Where no cutoff qualifies - too few labels -
+and the strictest cutoff whose bound is at most the rule's share wins. Where no cutoff qualifies - too few labels -
 the rule is off in that stratum.
 
 Strata are bands of text length in words; each has its own cutoffs. The counts cover all labelled
@@ -120,13 +120,13 @@ def choose_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, delt
         *[F.count_if(F.expr(sql) > c).alias(f"{name}_{i}") for name, (sql, cuts) in RULES.items() for i, c in enumerate(cuts)],
     )
     tests = len(BANDS) * sum(len(cuts) for _, cuts in RULES.values())
-    chosen = {}
+    chosen, share = {}, risk / len(RULES)
     for r in sides.collect():  # one row for each stratum
         for name, (_, cuts) in RULES.items():
             # no more false rejections than this can pass, so the bound is computed for those alone
             for i, c in enumerate(cuts):
                 k = r[f"{name}_{i}"]
-                if k <= risk * r["n"] and binomial_upper(k, r["n"], delta / tests) <= risk:
+                if k <= share * r["n"] and binomial_upper(k, r["n"], delta / tests) <= share:
                     chosen[r["band"], name] = c
                     break
     return chosen
