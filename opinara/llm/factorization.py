@@ -143,8 +143,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(terms: Terms, sets: list[np.ndarray], y: np.ndarray, factors: int = 4, max_terms: int | None = None, min_chi2: float = 14.0, steps: int = 200, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """Fit on hashed term sets ``sets`` with labels ``y``; the same input gives the same machine."""
+def fit(terms: Terms, sets: list[np.ndarray], y: np.ndarray, factors: int = 4, max_terms: int | None = None, min_chi2: float = 14.0, steps: int = 400, decay: float = 2e-6, pair_decay: float = 2e-4, seed: int = 7) -> Machine:
+    """Fit on hashed term sets ``sets`` with labels ``y``; the same input gives the same machine.
+
+    Pairs are held down more than single weights, so they explain what single weights leave.
+    """
     n = len(y)
     base = float(y.mean()) if n else 0.5
     w0 = float(np.log(max(base, 1e-6) / max(1 - base, 1e-6)))
@@ -176,7 +179,7 @@ def fit(terms: Terms, sets: list[np.ndarray], y: np.ndarray, factors: int = 4, m
         g = (sigmoid(_logits(params[0][0], w, v, at, row, n)) - y) / n
         gr = g[row]
         gw = np.bincount(at, gr, d) + decay * w
-        gv = np.stack([np.bincount(at, gr * (sums[f][row] - v[at, f]), d) for f in range(factors)], 1) + decay * v
+        gv = np.stack([np.bincount(at, gr * (sums[f][row] - v[at, f]), d) for f in range(factors)], 1) + pair_decay * v
         for p, grad, m1, s1 in zip(params, (np.array([g.sum()]), gw, gv), m, sq, strict=True):
             m1 += 0.1 * (grad - m1)
             s1 += 0.01 * (grad * grad - s1)
