@@ -19,6 +19,7 @@ columns beyond id and text are ignored.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,9 +60,11 @@ CONTEXT = 32
 STRUCT = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, kind: str, pattern: str) -> Column:
+def matches(text: Column, kind: str, pattern: str, valid: Callable[[Column], Column] = lambda v: F.lit(True)) -> Column:
     """Leftmost non-overlapping matches with positions: what lies between them, summed up, gives the starts.
 
+    Matches that are not ``valid`` only move the position on; the list grows with valid ones alone.
+
     There is one piece more than matches, so the last pair has a null match and adds nothing.
     """
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
@@ -71,7 +74,8 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
         start = (a["at"] + F.length(p["b"])).cast("int")
         end = (start + F.length(p["m"])).cast("int")
         one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"].alias("value"))
-        return F.when(p["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["spans"], F.array(one)).alias("spans")))
+        spans = F.when(valid(p["m"]), F.concat(a["spans"], F.array(one))).otherwise(a["spans"])
+        return F.when(p["m"].isNull(), a).otherwise(F.struct(end.alias("at"), spans.alias("spans")))
 
     return F.aggregate(pairs, none, step, lambda a: a["spans"])
 
@@ -104,18 +108,18 @@ def _valid(kind: str, v: Column) -> Column:
     return (n >= 9) & (n <= 15)
 
 
+def _base(text: Column, kind: str, pattern: str) -> Column:
+    return matches(text, kind, pattern, lambda v: _valid(kind, v))
+
+
 def base_spans(text: Column) -> Column:
     """Valid base spans by kind as listed, then start."""
     parts = []
     for kind, pattern in BASE.items():
-        parts.append(F.when(text.rlike(NEEDS[kind]), _filtered(text, kind, pattern)).otherwise(F.array().cast(STRUCT)))
+        parts.append(F.when(text.rlike(NEEDS[kind]), _base(text, kind, pattern)).otherwise(F.array().cast(STRUCT)))
     return F.concat(*parts)
 
 
-def _filtered(text: Column, kind: str, pattern: str) -> Column:
-    return F.filter(matches(text, kind, pattern), lambda s: _valid(kind, s["value"]))
-
-
 #: Only texts with one of these can hold a loose span.
 LOOSE_NEEDS = r"[0-9]{3}[)\x20.-]|[A-Z]{2}[0-9]{2}|[(\[]at[)\]]"
 
