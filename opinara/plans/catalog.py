@@ -302,19 +302,24 @@ def normalise_targets(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.normalise_target(c).alias("target"))
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, split_part(text, '.', 1) AS c FROM conversations)
-SELECT conv_id, turn, c AS claim FROM x WHERE length(c) BETWEEN 21 AND 69 AND NOT contains(lower(c), 'the user') AND NOT contains(lower(c), 'url') AND NOT contains(lower(c), 'the text') AND NOT contains(lower(c), 'the speaker')
-AND NOT regexp_matches(lower(c), '^the assistant') AND NOT regexp_matches(lower(c), '^[a-z0-9_]+ was mentioned.$') AND NOT regexp_matches(lower(c), '^[a-z0-9_]+( [a-z0-9_]+)? is a (person|place|thing|topic|claim|statement|question|politician|country|company|user).$') AND NOT length(c) > length(trim(c, '.')) + 1""")
+_W = text.WORD
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, split_part(text, '.', 1) AS c FROM conversations)
+SELECT conv_id, turn, c AS claim FROM x WHERE length(c) BETWEEN 21 AND 69 AND NOT contains(c, 'the user') AND NOT contains(c, 'url') AND NOT contains(c, 'the text') AND NOT contains(c, 'the speaker')
+AND NOT regexp_matches(c, '^the assistant') AND NOT regexp_matches(c, '^{_W}+ was mentioned.$') AND NOT regexp_matches(c, '^{_W}+( {_W}+)? is a ({"|".join(text.CLAIM_NOUNS)}).$') AND NOT length(c) > length(trim(c, '.')) + 1""")
 def clean_claims(spark, d):
     x = table(spark, d, "conversations").select("conv_id", "turn", F.split_part("text", F.lit("."), F.lit(1)).alias("claim"))
     return text.remove_bad_targets(x, "claims", "claim")
 
 
-@query(r"""WITH x AS (SELECT doc_id, trim(trim(trim(split_part(text, ' ', 1), concat(' ', chr(9), chr(10), chr(13))), '"'), ':') AS c FROM documents)
-SELECT doc_id, c AS target FROM x WHERE c IS NOT NULL AND NOT regexp_matches(lower(c), '^rt @?[a-z0-9_]+') AND NOT regexp_matches(lower(c), '(^|[^a-z0-9_])url([^a-z0-9_]|$)') AND NOT regexp_matches(c, '^[!-/:-@\[-`{-~ ]*$') AND lower(c) NOT IN ('', 'url', 'rt', 'rt @', '@rt', '@', 'yes', 'no', 'oui', 'non')""")
+@query(rf"""WITH x AS (SELECT doc_id, trim(trim(trim(split_part(text, ' ', 1), '"'), ':'), concat(' ', chr(9), chr(10), chr(13))) AS c FROM documents)
+SELECT doc_id, c AS target FROM x WHERE c IS NOT NULL AND NOT regexp_matches(c, 'rt @{_W}+') AND NOT regexp_matches(c, 'rt {_W}+') AND NOT regexp_matches(c, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])url([^\p{{L}}\p{{M}}\p{{N}}_]|$)')
+AND NOT regexp_matches(c, '^[^\p{{L}}\p{{M}}\p{{N}}_\s]+$') AND lower(c) NOT IN ('', 'url', 'rt', 'rt @', '@rt', '@', 'yes', 'no', 'oui', 'non')""")
 def clean_noun_phrases(spark, d):
+    """The stop words here are yes and no; the default list is Spark's."""
     x = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("target"))
-    return text.remove_bad_targets(x, "noun-phrases", "target")
+    return text.remove_bad_targets(x, "noun-phrases", "target", text.YES_NO)
 
 
 @query("""WITH c AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn) AS l FROM conversations)
@@ -326,13 +331,13 @@ def prompt_parent_chain(spark, d):
 
 
 @query("""SELECT conv_id, turn, array_to_string(regexp_extract_all(concat('["', replace(text, ' ', '", "'), '"]'), '"(.*?)"', 1), '|') AS items, trim(split_part(concat('<think>', text, '</think> answer ', role), '</think>', -1)) AS answer,
-CASE WHEN regexp_extract(lower(text), '(favor|against|neutral|in|of)', 1) = '' THEN 'neutral' ELSE regexp_extract(lower(text), '(favor|against|neutral|in|of)', 1) END AS category FROM conversations WHERE NOT contains(text, chr(10))""")
+CASE WHEN contains(lower(text), 'that') THEN 'favor' ELSE 'neutral' END AS category FROM conversations WHERE NOT contains(text, chr(10))""")
 def parse_responses(spark, d):
     t = F.col("text")
     quoted = F.concat(F.lit('["'), F.replace(t, F.lit(" "), F.lit('", "')), F.lit('"]'))
     thought = F.concat(F.lit("<think>"), t, F.lit("</think> answer "), F.col("role"))
     c = table(spark, d, "conversations").where(~F.contains(t, F.lit("\n")))
-    return c.select("conv_id", "turn", F.array_join(text.parse_quoted_list(quoted), "|").alias("items"), text.parse_thinking(thought).alias("answer"), text.parse_category(t, ["favor", "against", "neutral", "in", "of"], "neutral").alias("category"))
+    return c.select("conv_id", "turn", F.array_join(text.parse_quoted_list(quoted), "|").alias("items"), text.parse_thinking(thought).alias("answer"), text.parse_category(F.replace(F.lower(t), F.lit("that"), F.lit("in favor")), "stance-classification").alias("category"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM w), c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(g) AS x FROM g) GROUP BY ALL)
