@@ -32,8 +32,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays (a null id only where the group has no other); of repeated rows one."""
-    rows = near_duplicates(docs, keys=True)
+    """Of each group of near copies the document of least id stays (a null id only where the group has no other); of repeated rows one.
+
+    Near copies have 5-word shingles of a Jaccard similarity of 0.8 or more, or op10's fingerprints within 2 bits.
+    """
+    rows = near_duplicates(docs, keys=True, percent=80)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("s"))
     kept = first.select(*[F.col(f"s.{k}").alias(k) for k in KEY])
     return with_key(docs.select(*COLUMNS)).join(kept, list(KEY), "left_semi").dropDuplicates(list(KEY)).select(*COLUMNS)

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.common import KEY, drop_table, id_and_text, table_path, with_key, written
+from opinara.llm.minhash import similar_links, sketch
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 #: Python's own split would also cut at other white space.
@@ -46,12 +47,16 @@ CHUNK = 1 << 14
 SALTS = 32
 
 
+def words(text: str | None) -> list[str]:
+    return [w for w in SPLIT((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower()) if w]
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint of one text, as a signed 64-bit number. Hashes are counted in chunks: memory stays bounded."""
-    words = [w for w in SPLIT((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower()) if w]
-    if not words:
+    of = words(text)
+    if not of:
         return 0
-    grams = [" ".join(words)] if len(words) < shingle else [" ".join(g) for g in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    grams = [" ".join(of)] if len(of) < shingle else [" ".join(g) for g in zip(*(of[i:] for i in range(shingle)), strict=False)]
     ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(grams), CHUNK):
@@ -281,16 +286,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, max_tree: int = 20_000, keys: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, max_tree: int = 20_000, keys: bool = False, percent: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, fp (signed 64 bits) and component_id, the least doc_id of its component.
 
-    With ``keys`` also the row key and ``root``, a fingerprint that names the component.
+    With ``keys`` also the row key and ``root``, a fingerprint that names the component. With ``percent`` texts are
+    also linked whose sets of 5-word shingles are as similar as that (:mod:`minhash`).
     """
     own = id_and_text(docs, id_col, text_col)
-    prints = written(fingerprints(with_key(own) if keys else own, shingle), "fingerprints")
+    rows = with_key(own) if keys or percent else own
+    prints = written(fingerprints(rows.withColumn("sketch", sketch("text")) if percent else rows, shingle), "fingerprints")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     distinct = written(prints.withColumn("_s", salt).groupBy("fp").agg(F.min("doc_id").alias("least"), F.collect_set("_s").alias("_ss")), "distinct")
-    joined = components(written(near_links(distinct.select("fp"), budget, max_tree), "links"))
+    links = near_links(distinct.select("fp"), budget, max_tree)
+    if percent:
+        links = links.unionByName(similar_links(own, prints, percent))
+    joined = components(written(links, "links"))
     root = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     root = written(root, "roots")
     least = root.groupBy("root").agg(F.min("least").alias("component_id"), F.collect_set(F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).alias("_rs"))
