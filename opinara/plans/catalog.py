@@ -333,10 +333,11 @@ def prompt_parent_chain(spark, d):
 @query("""SELECT conv_id, turn, array_to_string(regexp_extract_all(concat('["', replace(text, ' ', '", "'), '"]'), '"(.*?)"', 1), '|') AS items, trim(split_part(concat('<think>', text, '</think> answer ', role), '</think>', -1)) AS answer,
 CASE WHEN contains(lower(text), 'that') THEN 'favor' ELSE 'neutral' END AS category FROM conversations WHERE NOT contains(text, chr(10))""")
 def parse_responses(spark, d):
+    """All turns; the SQL still leaves out those of several lines."""
     t = F.col("text")
     quoted = F.concat(F.lit('["'), F.replace(t, F.lit(" "), F.lit('", "')), F.lit('"]'))
     thought = F.concat(F.lit("<think>"), t, F.lit("</think> answer "), F.col("role"))
-    c = table(spark, d, "conversations").where(~F.contains(t, F.lit("\n")))
+    c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", F.array_join(text.parse_quoted_list(quoted), "|").alias("items"), text.parse_thinking(thought).alias("answer"), text.parse_category(F.replace(F.lower(t), F.lit("that"), F.lit("in favor")), "stance-classification").alias("category"))
 
 
