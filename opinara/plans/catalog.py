@@ -235,14 +235,14 @@ def brand_trend_scale(spark, d):
 
 def _fit(method: str, **kw):
     def run(spark, d):
-        return trends.trend_fit(trends.grouped(stance_long(spark, d), {}), method, "1d", **kw)
+        return trends.trend_fit(_groups(spark, d), method, "1d", **kw)
 
     run.__name__ = f"trend_{method}"
     return run
 
 
 for _m in ("bkrr", "lowess", "exact_gp", "gp"):
-    QUERIES[f"trend_{_m}"] = _fit(_m, max_points=200, n_bootstrap=30)
+    QUERIES[f"trend_{_m}"] = _fit(_m)
 QUERIES["trend_bootstrap"] = _fit("kernelreg", bandwidth=H)
 
 

@@ -190,7 +190,7 @@ def runner(method: str, hours: int, max_points: int, kw: dict) -> Callable[[tupl
         grid = np.arange(len(days)) * 24.0 / hours
         base = {"target": key[0], "filter_type": key[1], "filter_value": key[2]}
         try:
-            if len(pdf) > max_points:  # neighbouring bins are merged, weights kept
+            if method == "gp" and len(pdf) > max_points:  # neighbouring bins are merged, weights kept
                 part = np.arange(len(pdf)) * max_points // len(pdf)
                 pdf = pdf.assign(xw=pdf["x"] * pdf["w"]).groupby(part)[["xw", "w", "sy", "n_neg", "n_pos"]].sum()
                 pdf["x"] = pdf["xw"] / pdf["w"]

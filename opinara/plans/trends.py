@@ -91,7 +91,7 @@ def trend_fit(groups: DataFrame, method: str, time_scale: str = "1d", max_points
     """Trends by a fitter of :mod:`opinara.plans.fitters`, one group for each call.
 
     Observations are binned by hour first (count, sum), so a group's size is bounded by the calendar and
-    not by its rows; groups of more bins are thinned in the fitter as the method's inducing points are. A fit that
+    not by its rows; all bins are fitted, but for ``gp``, where those of a group of more than ``max_points`` are merged. A fit that
     fails gives one row with its error instead of failing the job.
     """
     spans = spans_of(groups)
