@@ -1,11 +1,11 @@
-"""Line dedup with levelled sorted runs of line hashes (DataFrame operations only).
+"""Line dedup with levelled runs of line hashes (DataFrame operations only).
 
 A *run* is a table ``(level, h1, h2, n_docs)``: 128-bit hashes of normalised lines with the number
-of documents of one batch (or of several, once compacted) that hold the line, range-partitioned and
-sorted by hash. :class:`LineRuns` keeps runs by level, as a log-structured merge tree does: every batch adds
-a sorted run at level 0, and when a level has ``fanout`` runs they are merged into one run of the
-next level, so a hash is rewritten O(log batches) times. A batch is checked by a merge join against
-the runs and its frequent lines leave by the anti-join.
+of documents of one batch (or of several, once compacted) that hold the line, sorted by
+hash within each of its partitions, which are those of the aggregate. :class:`LineRuns` keeps runs by level, as a log-structured merge tree does: every batch adds
+a run at level 0, and when a level has ``fanout`` runs they are added up, by union and aggregate, into one run of the
+next level, so a hash is rewritten O(log batches) times. A batch's lines are joined with the frequent hashes of all runs,
+and the documents with the line numbers found; the order of the runs is not used.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased. A key of at
 least ``min_chars`` code points found in at least ``min_docs`` documents loses all its lines.
@@ -97,7 +97,7 @@ class LineRuns:
 def dropped_positions(hashes: DataFrame, frequent: DataFrame) -> DataFrame:
     """(key, _drop): the line numbers, from 0, that a document loses; rows only for documents that lose some.
 
-    The merge join is on the hash; a line that a third of the documents hold is one row of the small
+    The join is on the hash; a line that a third of the documents hold is one row of the small
     side, which adaptive execution replicates while it splits the large side.
     """
     each = hashes.select(*KEY, F.inline("_lines"))
