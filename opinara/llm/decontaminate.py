@@ -5,17 +5,18 @@ window). A window is the set of its positioned shingles of ``shingle`` words, an
 holds all of them. So, in a containment join at threshold 1, the necessary prefix of a window is one
 shingle; it is the one that the fewest documents hold, counted over all documents. The steps:
 
-1. count, over all documents, how many hold each shingle of the benchmark;
-2. join document shingles to window prefixes on the shingle's hash;
-3. positional bound: the window must start at the shingle's position less its offset, not before the
-   text; length bound: it must end within the text;
-4. verify: the document's words there are the window's words.
+1. one pass over the texts: the number of words of each, and where it holds a shingle of the benchmark;
+2. from those places alone: how many documents hold each shingle, and with that each window's rarest one;
+3. join places to window prefixes on the shingle's hash; positional bound: the window must start at
+   the shingle's position less its offset, not before the text; length bound: it must end within the text;
+4. verify: the words of the few documents left are cut once more and must be the window's words.
 
 Occurrences of one document are merged to intervals, which gives the words hit.
 
 A null or empty text has no words and is clean; a null item has no windows. Repeated documents
 each get their result; repeated items count as one item each id. Null item ids are left out of the
-item list but their windows hit. Columns beyond id and text are ignored.
+item list but their windows hit. Columns beyond id and text are ignored. No documents give no rows, no items
+leave all documents clean. A text costs its length: words are cut by one split, white space of any length included.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import KEY, ascii_lower, estimated_bytes, id_and_text, with_key, written
+from opinara.llm.common import KEY, ascii_lower, id_and_text, with_key, written
 
 #: What stands between words, after A-Z have been lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,8 +35,7 @@ BROADCAST_BYTES = 64 << 20
 
 def words(text: Column) -> Column:
     """The words of a text: maximal runs of a-z, 0-9 and anything beyond ASCII, A-Z lower-cased."""
-    trimmed = F.regexp_replace(ascii_lower(text), rf"\A{GAP}|{GAP}\z", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP, -1))
+    return F.array_remove(F.split(ascii_lower(text), GAP, -1), "")
 
 
 def _shingle_hashes(k: int) -> Column:
@@ -66,41 +66,65 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return one.select(F.array_join("_w", " ").alias("window_text"), F.size("_w").alias("n"), F.least(F.size("_w"), F.lit(shingle)).alias("k"), "item_id").distinct()
 
 
-def _small(side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if estimated_bytes(side) <= BROADCAST_BYTES else side
+def _small(side: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """Broadcast a written table if its rows, of at most ``row_bytes`` in memory, fit; counted, not estimated from compressed files."""
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
 
 
-def occurrences(tokens: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, start, n, window_text): every place where a document's words are a window's words."""
-    unique = written(windows.select("window_text", "n", "k").distinct(), "windows")
-    lengths = sorted(r[0] for r in unique.select("k").distinct().collect())  # at most `shingle` values
-    if not lengths:
-        return tokens.select(*KEY, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("window_text")).where(F.lit(False))
-    split = unique.withColumn("_words", F.split("window_text", " ", -1))
-    inside = [
-        shingles(split.where(F.col("k") == k), [k], ["window_text", "n", "k"]).where(F.col("pos") <= F.col("n") - F.col("k")) for k in lengths
-    ]
-    pieces = inside[0]
+def benchmark_shingles(windows: DataFrame) -> DataFrame:
+    """(window_text, n, k, pos, h): the shingles of each distinct window."""
+    split = windows.select("window_text", "n", "k").distinct().withColumn("_words", F.split("window_text", " ", -1))
+    lengths = sorted(r[0] for r in windows.select("k").distinct().collect())  # at most `shingle` values
+    inside = [shingles(split.where(F.col("k") == k), [k], ["window_text", "n", "k"]) for k in lengths]
+    out = inside[0] if inside else split.select("window_text", "n", "k", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h"))
     for p in inside[1:]:
-        pieces = pieces.unionByName(p)
-    wanted = written(pieces, "shingles")
-    hashes = written(wanted.select("h").distinct(), "hashes")
+        out = out.unionByName(p)
+    return out.where(F.col("pos") <= F.col("n") - F.col("k"))
+
 
-    each = [_shingle_hashes(k) for k in lengths]
-    seen = tokens.select(F.explode_outer(F.array_distinct(each[0] if len(each) == 1 else F.concat(*each))).alias("h"))
-    held = seen.join(_small(hashes), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
+def places(tokens: DataFrame, hashes: DataFrame, lengths: list[int]) -> DataFrame:
+    """Per document a row (doc_id, key, n_words, pos = -1) and one (pos, h) for each place of a benchmark shingle.
+
+    With the hashes broadcast both come from one pass over the texts; beyond that size the places come from a shuffle join
+    and the numbers of words from a pass of their own.
+    """
+    keep = ["doc_id", *KEY]
+    size = F.size("_words").cast("long").alias("n_words")
+    small = hashes.count() * 64 <= BROADCAST_BYTES
+    if not lengths:
+        return tokens.select(*keep, size, F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h"))
+    each = [F.transform(_shingle_hashes(k), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for k in lengths]
+    if not small:
+        every = tokens.select(*keep, F.inline_outer(F.concat(*each))).where(F.col("h").isNotNull())
+        found = every.join(hashes, "h").select(*keep, F.lit(None).cast("long").alias("n_words"), "pos", "h")
+        return found.unionByName(tokens.select(*keep, size, F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h")))
+    head = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h")))
+    every = tokens.select(*keep, size, F.inline_outer(F.concat(head, *each)))
+    mark = F.broadcast(hashes.withColumn("_in", F.lit(True)))
+    return every.join(mark, "h", "left").where(F.col("_in") | (F.col("pos") == -1)).select(*keep, "n_words", "pos", "h")
+
+
+def occurrences(tokens: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, start, n, window_text): every place where a document's words are a window's words.
+
+    tokens: the texts' words; found: :func:`places`; wanted: :func:`benchmark_shingles`.
+    """
+    at = found.where("pos >= 0").select(*KEY, "pos", "h").distinct()
+    held = at.select(*KEY, "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
     ranked = wanted.join(held, "h", "left").groupBy("window_text", "n").agg(
         F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "h", "pos")).alias("_p")
     )
     # a window with a shingle that no document holds occurs nowhere
     prefixes = written(ranked.where(F.col("_p.n_docs") > 0).select("window_text", "n", F.col("_p.h").alias("h"), F.col("_p.pos").alias("offset")), "prefixes")
-
-    found = shingles(tokens, lengths, [*KEY, "_words"]).join(_small(prefixes), "h")
+    sizes = found.where("pos = -1").select(*KEY, "n_words").distinct()
     start = F.col("pos") - F.col("offset")
-    bound = found.where((start >= 0) & (start + F.col("n") <= F.size("_words")))
-    return bound.where(F.array_join(F.slice("_words", start + 1, F.col("n")), " ") == F.col("window_text")).select(
-        *KEY, start.alias("start"), "n", "window_text"
-    )
+    near = at.join(_small(prefixes, 512), "h").select(*KEY, start.alias("start"), "n", "window_text").where("start >= 0")
+    fits = written(near.join(sizes, list(KEY)).where(F.col("start") + F.col("n") <= F.col("n_words")).drop("n_words"), "candidates")
+    some = written(fits.select(*KEY).distinct(), "candidate-keys")
+    # of repeated rows one is enough: rows of one key have one text
+    of = tokens.join(_small(some), list(KEY), "left_semi").select(*KEY, "_words").dropDuplicates(list(KEY))
+    both = fits.join(of, list(KEY))
+    return both.where(F.array_join(F.slice("_words", F.col("start") + 1, F.col("n")), " ") == F.col("window_text")).select(*KEY, "start", "n", "window_text")
 
 
 def _covered(spans: Column) -> Column:
@@ -120,15 +144,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """Per row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted as strings), contaminated; with ``keys`` also the row key."""
     tokens = with_key(id_and_text(docs, id_col, text_col)).select("doc_id", *KEY, words(F.col("text")).alias("_words"))
     windows = written(item_windows(id_and_text(items, item_col, item_text_col), window, shingle), "item-windows")
-    occ = written(occurrences(tokens, windows), "occurrences")
+    wanted = written(benchmark_shingles(windows), "shingles")
+    lengths = sorted(r[0] for r in wanted.select("k").distinct().collect())  # at most `shingle` values
+    found = written(places(tokens, written(wanted.select("h").distinct(), "hashes"), lengths), "places")
+    occ = written(occurrences(tokens, found, wanted), "occurrences")
     hit = occ.groupBy(*KEY).agg(
         _covered(F.array_sort(F.collect_set(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n")).alias("end"))))).alias("_hit")
     )
-    of = windows.select("window_text", F.col("item_id").cast("string").alias("item_id")).where(F.col("item_id").isNotNull())
-    which = occ.select(*KEY, "window_text").join(_small(of), "window_text").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
-    sizes = tokens.select("doc_id", *KEY, F.size("_words").cast("long").alias("n_words"))
-    found = hit.join(which, list(KEY), "left")
-    out = sizes.join(found, list(KEY), "left")
+    of = written(windows.select("window_text", F.col("item_id").cast("string").alias("item_id")).where(F.col("item_id").isNotNull()), "window-items")
+    which = occ.select(*KEY, "window_text").join(_small(of, 512), "window_text").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
+    result = written(hit.join(which, list(KEY), "left"), "contaminated")
+    out = found.where("pos = -1").join(_small(result, 1024), list(KEY), "left")
     return out.select(
         "doc_id",
         *(KEY if keys else ()),
