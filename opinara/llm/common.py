@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,13 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda's argument is not evaluated again for each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def with_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add a row key of 128 bits: digests of the id and of id and text together.
+    """Add a row key: digests of the id and of id and text together, 128 bits (for null ids, of which the first says nothing, 64).
 
     Two rows share a key only if they have the same id and the same text, and then every result
     of theirs is the same; so repeated rows and null ids go through joins on the key unharmed.
@@ -86,11 +92,15 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, tag: str, **by) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: lineage is cut, lost executors cost nothing."""
+def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again: lineage is cut, lost executors cost nothing.
+
+    ``partition_by`` must be the last column.
+    """
     spark = df.sparkSession
     path = table_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

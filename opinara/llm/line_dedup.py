@@ -1,27 +1,45 @@
-"""Line dedup with levelled runs of line hashes (DataFrame operations only).
+"""Line dedup with levelled sorted runs of line hashes (DataFrame operations only).
 
-A *run* is a table ``(level, h1, h2, n_docs)``: 128-bit hashes of normalised lines with the number
-of documents of one batch (or of several, once compacted) that hold the line, sorted by
-hash within each of its partitions, which are those of the aggregate. :class:`LineRuns` keeps runs by level, as a log-structured merge tree does: every batch adds
-a run at level 0, and when a level has ``fanout`` runs they are added up, by union and aggregate, into one run of the
-next level, so a hash is rewritten O(log batches) times. A batch's lines are joined with the frequent hashes of all runs,
-and the documents with the line numbers found; the order of the runs is not used.
+A *run* is a table ``(h1, h2, n_docs)``: 128-bit hashes of normalised lines with the number of documents that hold the
+line, in buckets by hash and sorted within each, one file a bucket. :class:`LineRuns` keeps runs by level, as a log-structured
+merge tree does:
+
+* a new batch's counts are merge-anti-joined with the runs, which drops the lines that a run already knows as
+  frequent, and what is left becomes a run of level 0;
+* when a level has two runs they are compacted, by a merge join of the sorted buckets that adds their counts, into one run of the
+  next level; so a hash is rewritten O(log batches) times and never shuffled again.
+
+Buckets are as many as shuffle partitions, so the aggregate that counts a batch writes them without a further
+shuffle. Each batch has an id: one that was added before is not added again, so a repeated attempt changes
+nothing. A line's places are joined with the frequent lines of all runs, and the documents with the line numbers found.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased. A key of at
 least ``min_chars`` code points found in at least ``min_docs`` documents loses all its lines.
 Each row counts as a document, repeated rows too. A null or empty text is one empty line. Columns
-other than the text stay as they are.
+other than the text stay as they are, whatever their names. No documents give no rows. A text costs its
+length and the sort of its line numbers.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm.common import KEY, ascii_lower, drop_table, free_name, table_path, with_key, written
+from opinara.llm.common import KEY, ascii_lower, drop_table, free_name, let, table_path, with_key, written
 
 #: The white space that a line loses at both ends: space and \x09-\x0D.
 BLANK = " \t\n\x0b\x0c\r"
+#: A line held by more than this share of all lines' places is joined by a broadcast: there can be no more than 1 / share of them.
+HEAVY = 1e-4
+#: The documents' line numbers are broadcast up to this size, and joined by shuffle beyond it.
+BROADCAST_BYTES = 32 << 20
+#: In which batches the query's documents enter the runs.
+BATCHES = 4
 
 
 def line_hashes(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> DataFrame:
@@ -36,72 +54,127 @@ def line_hashes(docs: DataFrame, text_col: str = "text", min_chars: int = 1) ->
 
 
 def document_counts(hashes: DataFrame) -> DataFrame:
-    """(h1, h2, n_docs): in how many rows of :func:`line_hashes` a key occurs; partly summed before the shuffle."""
-    once = F.array_distinct(F.transform("_lines", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"))))
+    """(h1, h2, n_docs): in how many rows of :func:`line_hashes` a key occurs; partly summed before the shuffle.
+
+    A text's repeated lines are found by a sort: equal ones are neighbours.
+    """
+    pairs = F.sort_array(F.transform("_lines", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"))))
+    once = let(pairs, lambda t: F.filter(t, lambda s, i: F.when(i > 0, F.get(t, i - 1) != s).otherwise(True)))
     return hashes.select(F.inline(once)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder; the driver holds only their paths.
+    """Levelled sorted runs in the shared folder; the driver holds only their names.
 
-    ``add`` writes a run for a batch's counts, ``compact`` merges full levels, ``counts`` is the
-    sum over all runs, ``frequent`` the keys that reach ``min_docs``.
+    ``add`` takes a batch's counts, ``compact`` merges full levels, ``counts`` is the sum over all runs,
+    ``frequent`` the keys that reach ``min_docs``. Lines that a run already knows as frequent are not counted on: their
+    ``n_docs`` is a lower bound from then on.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, min_docs: int = 10):
+        self.spark, self.min_docs = spark, min_docs
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-
-    def add(self, counts: DataFrame) -> None:
-        self._write(counts, 0)
+        self.batches: set[str] = set()
+        self._paths: dict[str, str] = {}
+
+    def add(self, batch_id: str, counts: DataFrame) -> None:
+        """Merge-anti-join a batch's counts with the runs and add them as a run; a known ``batch_id`` changes nothing."""
+        if batch_id in self.batches:
+            return
+        with self._sorted():
+            for run in self._runs():
+                known = run.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+                counts = counts.join(known.hint("merge"), ["h1", "h2"], "left_anti")
+            self._write(counts, 0)
+        self.batches.add(batch_id)
         self.compact()
 
     def compact(self) -> None:
-        """Merge each level of ``fanout`` or more runs into one run of the level above."""
+        """Merge each level's pair of runs into one run of the level above."""
         level = 0
         while level < len(self.levels):
-            if len(paths := self.levels[level]) >= self.fanout:
-                self.levels[level] = []
-                self._write(self._sum([self._read(p) for p in paths]), level + 1)
-                for p in paths:
-                    drop_table(self.spark, p)
+            if len(names := self.levels[level]) >= 2:
+                with self._sorted():
+                    self._write(self._merged(*map(self._read, names[:2])), level + 1)
+                self.levels[level] = names[2:]
+                for n in names[:2]:
+                    self._drop(n)
             level += 1
 
     def counts(self) -> DataFrame:
-        runs = [self._read(p) for level in self.levels for p in level]
-        if not runs:
+        """The sum of all runs. Lines are in one run of each level at most, so there are as many joins as levels."""
+        if not (runs := self._runs()):
             return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
-        return runs[0] if len(runs) == 1 else self._sum(runs)
-
-    def frequent(self, min_docs: int) -> DataFrame:
-        return self.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2")
+        return reduce(self._merged, runs)
+
+    def frequent(self) -> DataFrame:
+        """(h1, h2, n_docs) of the lines of ``min_docs`` or more documents, as a written table."""
+        with self._sorted():
+            return written(self.counts().where(F.col("n_docs") >= self.min_docs), "frequent-lines")
+
+    def close(self) -> None:
+        """Drop all runs."""
+        for n in [n for level in self.levels for n in level]:
+            self._drop(n)
+        self.levels, self.batches = [], set()
+
+    @contextmanager
+    def _sorted(self) -> Iterator[None]:
+        """Let the scans of buckets of one sorted file say so: their merge joins need neither a shuffle nor a sort."""
+        name, conf = "spark.sql.legacy.bucketedTableScan.outputOrdering", self.spark.conf
+        was = conf.get(name)
+        conf.set(name, "true")
+        try:
+            yield
+        finally:
+            conf.set(name, was)
+
+    def _runs(self) -> list[DataFrame]:
+        return [self._read(n) for level in self.levels for n in level]
 
     def _write(self, counts: DataFrame, level: int) -> None:
+        name = f"opinara_line_run_{uuid.uuid4().hex}"
         path = table_path(self.spark, f"run-l{level}")
-        counts.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
+        out = counts.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        out.option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        self._paths[name] = path
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.table(name)
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(path)
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_table(self.spark, self._paths.pop(name))
 
     @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
-        for r in runs[1:]:
-            both = both.unionByName(r)
-        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b.withColumnRenamed("n_docs", "_n").hint("merge"), ["h1", "h2"], "full_outer")
+        return both.select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("n_docs"))
 
 
-def dropped_positions(hashes: DataFrame, frequent: DataFrame) -> DataFrame:
+def dropped_positions(hashes: DataFrame, frequent: DataFrame, n_places: int) -> DataFrame:
     """(key, _drop): the line numbers, from 0, that a document loses; rows only for documents that lose some.
 
-    The join is on the hash; a line that a third of the documents hold is one row of the small
-    side, which adaptive execution replicates while it splits the large side.
+    Lines of more than ``HEAVY`` of all ``n_places`` documents' lines are few, whatever the corpus: they are broadcast. No
+    other line has so many places that a task's share of the shuffle join would be large.
     """
     each = hashes.select(*KEY, F.inline("_lines"))
-    return each.join(frequent, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("pos").alias("_drop"))
+    is_heavy = F.col("n_docs") > max(1.0, HEAVY * n_places)
+    heavy = F.broadcast(frequent.where(is_heavy).select("h1", "h2", F.lit(True).alias("_heavy")))
+    marked = each.join(heavy, ["h1", "h2"], "left")
+    rest = marked.where("_heavy IS NULL").join(frequent.where(~is_heavy).select("h1", "h2"), ["h1", "h2"])
+    found = marked.where("_heavy").select(*KEY, "pos").unionByName(rest.select(*KEY, "pos"))
+    return found.groupBy(*KEY).agg(F.collect_set("pos").alias("_drop"))
+
+
+def _few(drop: DataFrame) -> DataFrame:
+    """A written table of :func:`dropped_positions`, broadcast if its counted size allows it."""
+    n = drop.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("_drop")), F.lit(0)).alias("values")).first()
+    return F.broadcast(drop) if 64 * n["rows"] + 8 * n["values"] <= BROADCAST_BYTES else drop
 
 
 def dedup_lines(
@@ -110,27 +183,35 @@ def dedup_lines(
     id_col: str = "doc_id",
     min_chars: int = 1,
     min_docs: int = 10,
-    batches: list[DataFrame] | None = None,
+    n_batches: int = BATCHES,
     runs: LineRuns | None = None,
 ) -> DataFrame:
     """``docs`` with frequent lines cut from the text, and with ``n_lines`` and ``n_dropped``.
 
-    ``docs`` enter the runs as one batch, or as the given ``batches``; ``runs`` of earlier calls
+    ``docs`` enter the runs as ``n_batches`` batches, by a digest of id and text; ``runs`` of earlier calls
     count too. Names ``n_lines`` and ``n_dropped`` get underscores where the input has them.
     """
-    runs = runs or LineRuns(docs.sparkSession)
-    keyed = with_key(docs, id_col, text_col)
-    hashes = written(line_hashes(keyed, text_col, min_chars), "lines")
-    if batches is None:
-        runs.add(document_counts(hashes))
-    else:
-        for b in batches:
-            runs.add(document_counts(line_hashes(with_key(b, id_col, text_col), text_col, min_chars)))
-    drop = dropped_positions(hashes, runs.frequent(min_docs))
+    runs, own = runs or LineRuns(docs.sparkSession, min_docs), runs is None
+    # the row travels as one struct, so no column of it can clash
+    packed = with_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
+    batch = F.pmod(F.col(KEY[1]), F.lit(n_batches)).cast("int")
+    hashes = written(line_hashes(packed, "_text", min_chars).withColumn("_batch", batch), "lines", partition_by="_batch")
+    tag = uuid.uuid4().hex
+    for k in range(n_batches):
+        runs.add(f"{tag}/{k}", document_counts(hashes.where(F.col("_batch") == k)))
+    frequent = runs.frequent()
+    n_places = hashes.agg(F.sum(F.size("_lines"))).first()[0] or 0
+    drop = _few(written(dropped_positions(hashes, frequent, n_places), "line-numbers"))
+    if own:
+        runs.close()
     n_lines, n_dropped = free_name("n_lines", docs.columns), free_name("n_dropped", docs.columns)
-    joined = keyed.join(drop.hint("shuffle_hash"), list(KEY), "left")
-    raw = joined.withColumn("_raw", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
-    left = F.filter("_raw", lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    out = raw.withColumn(n_lines, F.size("_raw").cast("long")).withColumn(n_dropped, F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    text = F.when(F.col("_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(left, "\n"))
-    return out.withColumn(text_col, text).select(*docs.columns, n_lines, n_dropped)
+    raw = packed.join(drop, list(KEY), "left").withColumn("_raw", F.split(F.coalesce("_text", F.lit("")), "\n", -1))
+    # the numbers that stay are a difference of sets, by hash: a text of many lines is not searched for each
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_raw") - 1), F.col("_drop"))
+    left = F.array_join(F.transform(stay, lambda i: F.get("_raw", i)), "\n")
+    text = F.when(F.col("_drop").isNull(), F.coalesce("_text", F.lit(""))).otherwise(left)
+    return raw.withColumn("_new", text).select(
+        *[F.col("_new").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns],
+        F.size("_raw").cast("long").alias(n_lines),
+        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias(n_dropped),
+    )
