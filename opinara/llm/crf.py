@@ -5,15 +5,19 @@ token's shape, length, kinds of characters and entropy, the neighbouring words,
 the transition weights they are fitted by maximising the conditional likelihood (forward-backward, Adam).
 Decoding is by Viterbi.
 
-Only tokens of a candidate shape may be B or I: eight characters or more with a letter and a digit. A token
-that must be O cuts the chain, as what follows depends on it alone, so runs of candidates are decoded by themselves, with O
-on both sides: the same tags as over the whole text, at the cost of the candidates.
+Every token may carry any tag. A weight belongs to a feature of one token seen from one place (itself, the one before, the
+second before, the next), so what a token brings is looked up by its text in a bounded cache and the emissions of a batch are sums
+of four rows of a table. Tokens that no tagging better than one with O there can use are found by a bound on what transitions and the
+next token's tag can make up for; they cut the chain, and only the runs between them are decoded: the same tags
+as by Viterbi over the whole text (:meth:`Tagger.spans_by_full_chain`, tested).
 
 Three base patterns (assign, access, hex) always yield their spans, leftmost and without overlap for each kind; the tagger adds
 spans of kind ``crf`` that overlap no base span. Positions are code points, ends exclusive.
 
 The documents have no labels for secrets: the tagger is fitted on generated, labelled lines (templates and a seed).
-A null or empty text has no spans. Repeated rows get equal results; columns beyond id and text are ignored.
+They hold keys of letters only, of digits only, short passwords, hyphenated passphrases and key blocks of many lines, which
+are chains of many tokens. Passphrases of several plain words are out of reach: taught to, the field took prose for them. A null or empty text has no spans. Repeated rows get equal results; no documents give no rows; columns
+beyond id and text are ignored. A text costs its length.
 """
 
 from __future__ import annotations
@@ -39,12 +43,12 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),
 )
 KINDS = ("assign", "access", "hex", "crf")
-#: A token does not end in a full stop. LONG finds the tokens of eight characters or more, from the start of a run only.
-TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]*[A-Za-z0-9+/_\-]={0,2}|[^\sA-Za-z0-9]")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{7,}[A-Za-z0-9+/_\-]={0,2}")
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+#: A token does not end in a full stop. A run beyond ASCII is one token.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]*[A-Za-z0-9+/_\-]={0,2}|[^\x00-\x7F]+|[^\sA-Za-z0-9]")
+#: Cached tokens are forgotten beyond this many, so a worker's memory stays bounded.
+CACHE = 200_000
 HAS_SIGN = re.compile("[:=]")
-BITS = 13
+BITS = 18
 B, I, O = 0, 1, 2  # noqa: E741
 
 
@@ -58,10 +62,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], a, b) for a, k, b in sorted(out)]
 
 
-def candidate(token: str) -> bool:
-    return len(token) >= 8 and DIGIT.search(token) is not None and LETTER.search(token) is not None
-
-
 def shape(token: str) -> str:
     """Runs of upper case, lower case, digits and signs, one letter each."""
     kinds = ["A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in token]
@@ -74,16 +74,30 @@ def file_features(text: str) -> tuple[str, ...]:
     return (f"file:signs:{min(4, int(200 * signs / n))}", f"file:lines:{min(4, text.count(chr(10)) * 400 // n)}")
 
 
-def features(token: str, before: tuple[str, str], after: str, file: tuple[str, ...]) -> list[int]:
+def _hash(names: list[str]) -> list[int]:
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
+
+
+def own_features(token: str) -> list[int]:
+    """The features of a token itself."""
     bare = token.rstrip("=")
-    mix = "".join(k for k, r in (("A", "[A-Z]"), ("a", "[a-z]"), ("0", "[0-9]"), ("s", r"[+/_.\-]")) if re.search(r, bare))
+    mix = "".join(k for k, r in (("A", "[A-Z]"), ("a", "[a-z]"), ("0", "[0-9]"), ("s", r"[+/_.\-]"), ("x", r"[^\x00-\x7F]")) if re.search(r, bare))
     counts = Counter(bare)
     entropy = -sum(c / len(bare) * math.log2(c / len(bare)) for c in counts.values()) if bare else 0.0
-    names = [
+    return _hash([
         "bias", f"shape:{shape(bare)}", f"turns:{min(8, len(shape(bare)))}", f"mix:{mix}", f"length:{min(12, len(bare) // 4)}", f"entropy:{int(2 * entropy)}", f"start:{bare[:4].lower()}",
-        f"back:{before[0].lower()[:12]}", f"back2:{before[1].lower()[:12]}", f"next:{after.lower()[:12]}", f"both:{mix}:{min(12, len(bare) // 4)}", f"digits:{sum(map(str.isdigit, bare)) * 5 // max(1, len(bare))}", *file,
-    ]
-    return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in names]
+        f"both:{mix}:{min(12, len(bare) // 4)}", f"digits:{sum(map(str.isdigit, bare)) * 5 // max(1, len(bare))}", f"word:{token.lower()[:12]}",
+    ])
+
+
+def seen_features(token: str, place: str) -> list[int]:
+    """The features of a token as seen from a neighbour."""
+    low = token.lower()[:12]
+    kind = f"{min(6, len(token) // 4)}:{'0' * any(map(str.isdigit, token))}{'a' * any(map(str.isalpha, token))}"
+    return _hash([f"{place}:{low}", f"{place}:kind:{kind}"])
+
+
+PLACES = ("back", "back2", "next")
 
 
 class Tagger:
@@ -91,10 +105,50 @@ class Tagger:
 
     def __init__(self, w: np.ndarray, t: np.ndarray):
         self.w, self.t = w, t
-
-    def _emit(self, tokens: list[str], k: int, file: tuple[str, ...]) -> np.ndarray:
-        at = lambda j: tokens[j] if 0 <= j < len(tokens) else ""
-        return self.w[features(tokens[k], (at(k - 1), at(k - 2)), at(k + 1), file)].sum(0)
+        self._at: dict[str, int] = {}
+        self._rows = np.zeros((1024, 4, 3))
+        tt = t.copy()
+        tt[O, I] = -np.inf
+        # the most that transitions to and from a tag of a secret can gain over O and, where I follows, over B
+        self.slack = max(
+            tt[p, tag] + tt[tag, q] - t[p, O] - t[O, B if q == I else q]
+            for p in (B, I, O) for tag in (B, I) for q in (B, I, O) if np.isfinite(tt[p, tag]) and np.isfinite(tt[tag, q])
+        )
+
+    def __getstate__(self):
+        return {"w": self.w, "t": self.t}
+
+    def __setstate__(self, state):
+        self.__init__(state["w"], state["t"])
+
+    def _ids(self, tokens: list[str]) -> np.ndarray:
+        """Rows of the tokens' table: what each brings to itself and, by place, to its neighbours. Row 0 is for no token."""
+        if len(self._at) > CACHE:
+            self._at, self._rows = {}, np.zeros((1024, 4, 3))
+        at = self._at
+        if not at:
+            self._rows[0, 1:] = [self.w[seen_features("", p)].sum(0) for p in PLACES]
+            at[""] = 0
+        out = [at.get(x, -1) for x in tokens]
+        for i in [i for i, k in enumerate(out) if k < 0]:
+            x = tokens[i]
+            if (k := at.get(x, -1)) < 0:
+                k = at[x] = len(at)
+                if k >= len(self._rows):
+                    self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+                own = own_features(x)
+                seen = [h for p in PLACES for h in seen_features(x, p)]
+                self._rows[k] = np.add.reduceat(self.w[own + seen], [0, *range(len(own), len(own) + len(seen), len(seen) // len(PLACES))])
+            out[i] = k
+        return np.array(out, np.int64)
+
+    def emissions(self, tokens: list[str], file: tuple[str, ...]) -> np.ndarray:
+        ids = self._ids(tokens)
+        e = self._rows[ids, 0] + self.w[_hash(list(file))].sum(0)
+        e += self._rows[np.r_[0, ids[:-1]], 1]
+        e += self._rows[np.r_[0, 0, ids[:-2]][: len(ids)], 2]
+        e += self._rows[np.r_[ids[1:], 0], 3]
+        return e
 
     def viterbi(self, emit: np.ndarray) -> list[int]:
         """The best tags of a chain that has O before and behind it."""
@@ -110,46 +164,32 @@ class Tagger:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
+    def open_tokens(self, emit: np.ndarray) -> np.ndarray:
+        """Tokens that may be part of a secret. For each other one, O there (and B for an I behind it) makes any tagging better."""
+        gain = np.maximum(emit[:, B], emit[:, I]) - emit[:, O]
+        after = np.r_[np.maximum(emit[1:, I] - emit[1:, B], 0), 0]
+        return gain + after + self.slack >= 0
+
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """Secrets of a text: candidates are found, runs of them decoded."""
-        hits = [m for m in LONG.finditer(text) if candidate(m[0])]
-        if not hits:
+        """Secrets of a text: runs of tokens that may be part of one are decoded."""
+        tokens = TOKEN.findall(text)
+        if not tokens:
+            return []
+        emit = self.emissions(tokens, file_features(text))
+        at = np.flatnonzero(self.open_tokens(emit))
+        if not len(at):
             return []
-        out, file, k = [], file_features(text), 0
-        while k < len(hits):
-            # tokens from a little before the run to a little behind it
-            lo = hits[k].start()
-            j = k
-            while j + 1 < len(hits) and not text[hits[j].end() : hits[j + 1].start()].strip():
-                j += 1
-            hi = hits[j].end()
-            left = _last_tokens(text, lo)
-            right = TOKEN.search(text, hi)
-            tokens = [*left, *(m[0] for m in hits[k : j + 1]), *([right[0]] if right else [])]
-            emit = np.array([self._emit(tokens, len(left) + i, file) for i in range(j + 1 - k)])
-            out += _joined(self.viterbi(emit), [(m.start(), m.end()) for m in hits[k : j + 1]])
-            k = j + 1
+        out, places = [], [m.span() for m in TOKEN.finditer(text)]
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            out += _joined(self.viterbi(emit[run[0] : run[-1] + 1]), places[run[0] : run[-1] + 1])
         return out
 
     def spans_by_full_chain(self, text: str) -> list[tuple[int, int]]:
         """The same by one Viterbi pass over all tokens; for tests."""
         found = list(TOKEN.finditer(text))
-        tokens, file = [m[0] for m in found], file_features(text)
-        if not tokens:
+        if not found:
             return []
-        emit = np.array([self._emit(tokens, k, file) if candidate(x) else [-1e9, -1e9, 0.0] for k, x in enumerate(tokens)])
-        return _joined(self.viterbi(emit), [(m.start(), m.end()) for m in found])
-
-
-def _last_tokens(text: str, end: int) -> list[str]:
-    """The last two tokens before ``end``; looks back by more and more until a token's start is certain."""
-    reach = 64
-    while True:
-        lo = max(0, end - reach)
-        found = list(TOKEN.finditer(text, lo, end))
-        if lo == 0 or len(found) > 3:
-            return [m[0] for m in found[-2:]]
-        reach *= 4
+        return _joined(self.viterbi(self.emissions([m[0] for m in found], file_features(text))), [(m.start(), m.end()) for m in found])
 
 
 def _joined(tags: list[int], places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -162,112 +202,145 @@ def _joined(tags: list[int], places: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def training_lines(n: int = 1500, seed: int = 23) -> list[tuple[str, list[tuple[int, int]]]]:
+def training_lines(n: int = 3000, seed: int = 23) -> list[tuple[str, list[tuple[int, int]]]]:
     """Generated lines with the spans of their secrets."""
     rng = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda s, k: "".join(rng.choice(s) for _ in range(k))
-    word = lambda: pick(low, rng.randint(2, 9))
+    parts = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur la que ent ion ción eau ung sch ein".split()
+    word = lambda: pick(low, rng.randint(2, 9)) if rng.random() < 0.3 else "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
 
     def mixed(s: str, k: int) -> str:
         return rng.choice(low) + pick(s, k) + rng.choice(dig)
 
+    b64 = low + up + dig + "+/"
     secrets = [
-        lambda: mixed(low + up + dig, rng.randint(18, 40)), lambda: mixed(low + up + dig + "+/", rng.randint(20, 60)) + rng.choice(["", "=", "=="]),
+        lambda: mixed(low + up + dig, rng.randint(18, 40)), lambda: mixed(b64, rng.randint(20, 60)) + rng.choice(["", "=", "=="]),
         lambda: "ghp_" + mixed(low + up + dig, 34), lambda: "sk_live_" + mixed(low + up + dig, 22), lambda: "xoxb-" + pick(dig, 11) + "-" + mixed(low + up + dig, 22),
-        lambda: "0a" + pick("0123456789abcdef", rng.choice([18, 22, 26])),
+        lambda: "0a" + pick("0123456789abcdef", rng.choice([18, 22, 26])), lambda: pick(low + up, rng.randint(16, 36)) + rng.choice(["", "=="]), lambda: pick(dig, rng.randint(12, 20)),
+        lambda: pick(low + up + dig, rng.randint(5, 9)) + rng.choice(dig), lambda: f"{word().capitalize()}{pick(dig, rng.randint(1, 4))}", lambda: "-".join(word() for _ in range(rng.randint(4, 6))),
     ]
     plain = [
         lambda: f"{word()}{pick(dig, 2)}@{word()}.com", lambda: f"{word()}-{pick(dig, 4)}-{word()}", lambda: f"{word()}_{word()}_v{pick(dig, 1)}.{pick(dig, 1)}", lambda: f"2024-0{pick('123456789', 1)}-1{pick(dig, 1)}T12",
         lambda: f"{word()}/{word()}/{word()}{pick(dig, 1)}.html", lambda: f"{word()}{word()}.{pick(dig, 2)}", lambda: f"src{pick(dig, 2)}.example.com", lambda: f"{pick(dig, 3)}-{pick(dig, 3)}-{pick(dig, 4)}x",
+        lambda: pick(dig, rng.randint(3, 12)), lambda: pick(dig, rng.randint(13, 19)), lambda: pick(dig, 16) + " " + pick(dig, 16), lambda: ".".join(pick(dig, rng.randint(1, 3)) for _ in range(4)), lambda: f"+1 ({pick(dig, 3)}) {pick(dig, 3)}-{pick(dig, 4)}", lambda: word() + word() + word(), lambda: pick(up, rng.randint(4, 12)),
+        lambda: f"{word()}{rng.choice(['$$$', '###', '&&&', '%%%', '!!'])} {word()}{rng.choice(['###', '!!'])}", lambda: "é".join(word() for _ in range(2)),
     ]
-    cues = ["key", "auth", "bearer", "credential", "secret", "token", "apikey", "private", "signature", "pwd"]
+    cues = ["key", "auth", "bearer", "credential", "secret", "token", "apikey", "private", "signature", "pwd", "password", "pass", "passcode", "Basic", "pin"]
+    ends = ["", "", "", "", "", ",", ".", ".\n", "###", "$$$", "!!"]
+    say = [word, word, word, lambda: word().capitalize(), lambda: word() + "é" + word(), lambda: word().upper()]
+    number = lambda: pick(dig, rng.choice([2, 4, 10, 16]))
+    sentence = lambda lo, hi: " ".join((number if rng.random() < 0.04 else rng.choice(say))() + rng.choice(ends) for _ in range(rng.randint(lo, hi)))
     out = []
     for _ in range(n):
-        text, spans = " ".join(word() for _ in range(rng.randint(0, 6))), []
+        text, spans = sentence(0, 6), []
         text += " " * bool(text)
         kind = rng.random()
-        if kind < 0.45:
+
+        def put(s: str) -> None:
+            nonlocal text
+            spans.append((len(text), len(text) + len(s)))  # noqa: B023
+            text += s
+
+        if kind < 0.40:
             text += rng.choice(cues) + rng.choice([" ", ": ", "=", ' = "', " is ", ":"])
-            for i in range(1 + (rng.random() < 0.1)):
-                s = rng.choice(secrets)()
-                if i and spans:
-                    text += " "
-                spans.append((len(text), len(text) + len(s)))
-                text += s
-        elif kind < 0.85:
-            text += rng.choice(["", "see ", "file ", "at ", "from: ", "id="]) + rng.choice(plain)()
-        text += rng.choice(["", " ", ". ", '" ', "; "]) + " ".join(word() for _ in range(rng.randint(0, 5)))
+            put(rng.choice(secrets)())
+            if rng.random() < 0.1:
+                text += " "
+                put(rng.choice(secrets[:6])())
+        elif kind < 0.55:
+            text += f"-----BEGIN {rng.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n"
+            put("\n".join(pick(b64, 64) for _ in range(rng.randint(1, 6))) + "\n" + pick(b64, rng.randint(9, 60)) + rng.choice(["", "=", "=="]))
+            text += "\n-----END PRIVATE KEY-----"
+        elif kind < 0.62:
+            text += sentence(40, 80)
+        elif kind < 0.9:
+            text += rng.choice(["", "see ", "file ", "at ", "from: ", "id=", "page ", "order ", "call "]) + rng.choice(plain)()
+        else:
+            text += rng.choice(["a key to ", "the token of ", "my secret ", "no password for ", "the pin in "]) + sentence(1, 3)
+        text += rng.choice([" ", ". ", '" ', "; ", "\n", "### ", "&&& "]) + sentence(0, 5)
         out.append((text, [s for s in spans]))
     return out
 
 
-def fit_tagger(lines: list[tuple[str, list[tuple[int, int]]]] | None = None, steps: int = 150, decay: float = 1e-4) -> Tagger:
-    """Fit on labelled lines; runs of candidates are the chains, as in decoding."""
+def fit_tagger(lines: list[tuple[str, list[tuple[int, int]]]] | None = None, steps: int = 360, batch: int = 256, decay: float = 1e-4) -> Tagger:
+    """Fit on labelled lines; a line's tokens are a chain."""
     chains: list[tuple[list[list[int]], list[int]]] = []
     for text, spans in training_lines() if lines is None else lines:
         found = list(TOKEN.finditer(text))
-        tokens, file = [m[0] for m in found], file_features(text)
-        run: tuple[list[list[int]], list[int]] = ([], [])
-        for k, m in enumerate(found):
-            if candidate(m[0]):
-                at = lambda j: tokens[j] if 0 <= j < len(tokens) else ""  # noqa: E731, B023
-                run[0].append(features(m[0], (at(k - 1), at(k - 2)), at(k + 1), file))
-                inside = [s for s in spans if s[0] <= m.start() < s[1]]
-                run[1].append(O if not inside else B if m.start() == inside[0][0] else I)
-            elif run[0]:
-                chains.append(run)
-                run = ([], [])
-        if run[0]:
-            chains.append(run)
+        tokens, file = [m[0] for m in found], _hash(list(file_features(text)))
+        if not tokens:
+            continue
+        at = lambda j: tokens[j] if 0 <= j < len(tokens) else ""  # noqa: E731, B023
+        inside = [next((s for s in spans if s[0] <= m.start() < s[1]), None) for m in found]
+        chains.append((
+            [own_features(x) + [h for p, d in zip(PLACES, (-1, -2, 1), strict=True) for h in seen_features(at(k + d), p)] + file for k, x in enumerate(tokens)],
+            [O if s is None else B if m.start() == s[0] else I for m, s in zip(found, inside, strict=True)],
+        ))
     n, longest = len(chains), max(len(c[0]) for c in chains)
     width = max(len(f) for c in chains for f in c[0])
-    dim = 1 << BITS
+    # features seen less than three times get no weight
+    every, count = np.unique(np.concatenate([f for c in chains for f in c[0]]), return_counts=True)
+    known = every[count >= 3]
+    place = np.full(1 << BITS, dim := len(known))
+    place[known] = np.arange(dim)
     x = np.full((n, longest, width), dim)
     y, mask = np.full((n, longest), O), np.zeros((n, longest), bool)
     for i, (fs, tags) in enumerate(chains):
         for j, f in enumerate(fs):
-            x[i, j, : len(f)] = f
+            x[i, j, : len(f)] = place[f]
             mask[i, j] = True
         y[i, : len(tags)] = tags
     w, t = np.zeros((dim + 1, 3)), np.zeros((3, 3))
     bar = np.zeros((3, 3))
     bar[O, I] = -1e9
     moments = [np.zeros_like(p) for p in (w, w, t, t)]
+    lengths = np.array([len(c[0]) for c in chains])
+    by_length = np.argsort(lengths, kind="stable")
+    parts = [p for p in np.array_split(by_length, max(1, n // batch)) if len(p)]
+    order = np.random.default_rng(5).permutation(len(parts))
     for step in range(1, steps + 1):
-        tt = t + bar
-        e = w[x].sum(2)
-        e[~mask] = (-1e9, -1e9, 0.0)  # behind its end a chain is O
-        alpha = np.empty_like(e)
-        alpha[:, 0] = e[:, 0] + tt[O]
-        for j in range(1, longest):
-            alpha[:, j] = e[:, j] + _lse(alpha[:, j - 1][:, :, None] + tt, 1)
-        beta = np.empty_like(e)
-        beta[:, -1] = tt[:, O]
-        for j in range(longest - 2, -1, -1):
-            beta[:, j] = _lse(tt + (e[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
-        z = _lse(alpha[:, -1] + tt[:, O], 1)
-        node = np.exp(alpha + beta - z[:, None, None])
-        gw = np.zeros_like(w)
-        diff = node.copy()
-        np.put_along_axis(diff, y[:, :, None], np.take_along_axis(node, y[:, :, None], 2) - 1, 2)
-        diff[~mask] = 0
-        for c in range(3):
-            gw[:, c] = np.bincount(x.ravel(), np.repeat(diff[:, :, c].ravel(), width), dim + 1)
-        gt = np.zeros_like(t)
-        gt[O] += diff[:, 0].sum(0)
-        for j in range(1, longest):
-            pair = np.exp(alpha[:, j - 1][:, :, None] + tt + (e[:, j] + beta[:, j])[:, None, :] - z[:, None, None])
-            gt += pair.sum(0)
-            np.subtract.at(gt, (y[:, j - 1], y[:, j]), 1)
-        gt[:, O] += node[:, -1].sum(0)
-        np.subtract.at(gt[:, O], y[:, -1], 1)
+        part = parts[order[step % len(parts)]]
+        size = int(lengths[part].max())
+        gw, gt = _gradient(x[part, :size], y[part, :size], mask[part, :size], w, t, bar)
         gw[dim] = 0
-        for p, g, k in ((w, gw / n + decay * w, 0), (t, gt / n + decay * t, 2)):
+        for p, g, k in ((w, gw / len(part) + decay * w, 0), (t, gt / len(part) + decay * t, 2)):
             moments[k] += 0.1 * (g - moments[k])
             moments[k + 1] += 0.01 * (g * g - moments[k + 1])
-            p -= 0.1 * (moments[k] / (1 - 0.9**step)) / (np.sqrt(moments[k + 1] / (1 - 0.99**step)) + 1e-9)
-    return Tagger(w[:dim], t)
+            p -= 0.05 * (1 - step / (steps + 1)) * (moments[k] / (1 - 0.9**step)) / (np.sqrt(moments[k + 1] / (1 - 0.99**step)) + 1e-9)
+    full = np.zeros((1 << BITS, 3))
+    full[known] = w[:dim]
+    return Tagger(full, t)
+
+
+def _gradient(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: np.ndarray, t: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative log likelihood of some chains, padded to one length, by forward-backward."""
+    (n, longest, width), dim, tt = x.shape, len(w) - 1, t + bar
+    e = w[x].sum(2)
+    e[~mask] = (-1e9, -1e9, 0.0)  # behind its end a chain is O
+    alpha = np.empty_like(e)
+    alpha[:, 0] = e[:, 0] + tt[O]
+    for j in range(1, longest):
+        alpha[:, j] = e[:, j] + _lse(alpha[:, j - 1][:, :, None] + tt, 1)
+    beta = np.empty_like(e)
+    beta[:, -1] = tt[:, O]
+    for j in range(longest - 2, -1, -1):
+        beta[:, j] = _lse(tt + (e[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
+    z = _lse(alpha[:, -1] + tt[:, O], 1)
+    node = np.exp(alpha + beta - z[:, None, None])
+    diff = node.copy()
+    np.put_along_axis(diff, y[:, :, None], np.take_along_axis(node, y[:, :, None], 2) - 1, 2)
+    diff[~mask] = 0
+    gw = np.stack([np.bincount(x.ravel(), np.repeat(diff[:, :, c].ravel(), width), dim + 1) for c in range(3)], 1)
+    gt = np.zeros_like(t)
+    gt[O] += diff[:, 0].sum(0)
+    for j in range(1, longest):
+        pair = np.exp(alpha[:, j - 1][:, :, None] + tt + (e[:, j] + beta[:, j])[:, None, :] - z[:, None, None])
+        gt += pair.sum(0)
+        np.subtract.at(gt, (y[:, j - 1], y[:, j]), 1)
+    gt[:, O] += node[:, -1].sum(0)
+    np.subtract.at(gt[:, O], y[:, -1], 1)
+    return gw, gt
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
