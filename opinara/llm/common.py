@@ -104,6 +104,6 @@ def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's upper estimate of the size of ``df``; from file sizes when it is a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def if_small(side: DataFrame, row_bytes: int = 64, limit: int = 64 << 20) -> DataFrame:
+    """Broadcast a written table if its rows, of at most ``row_bytes`` in memory, fit; counted, not estimated from compressed files."""
+    return F.broadcast(side) if side.count() * row_bytes <= limit else side

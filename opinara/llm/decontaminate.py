@@ -24,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import KEY, ascii_lower, id_and_text, with_key, written
+from opinara.llm.common import KEY, ascii_lower, id_and_text, if_small, with_key, written
 
 #: What stands between words, after A-Z have been lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: The benchmark's side of the join is broadcast up to this size, and joined by shuffle beyond it.
+#: The benchmark's shingles are broadcast up to this size, and joined by shuffle beyond it.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -66,11 +66,6 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return one.select(F.array_join("_w", " ").alias("window_text"), F.size("_w").alias("n"), F.least(F.size("_w"), F.lit(shingle)).alias("k"), "item_id").distinct()
 
 
-def _small(side: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """Broadcast a written table if its rows, of at most ``row_bytes`` in memory, fit; counted, not estimated from compressed files."""
-    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
-
-
 def benchmark_shingles(windows: DataFrame) -> DataFrame:
     """(window_text, n, k, pos, h): the shingles of each distinct window."""
     split = windows.select("window_text", "n", "k").distinct().withColumn("_words", F.split("window_text", " ", -1))
@@ -118,11 +113,11 @@ def occurrences(tokens: DataFrame, found: DataFrame, wanted: DataFrame) -> DataF
     prefixes = written(ranked.where(F.col("_p.n_docs") > 0).select("window_text", "n", F.col("_p.h").alias("h"), F.col("_p.pos").alias("offset")), "prefixes")
     sizes = found.where("pos = -1").select(*KEY, "n_words").distinct()
     start = F.col("pos") - F.col("offset")
-    near = at.join(_small(prefixes, 512), "h").select(*KEY, start.alias("start"), "n", "window_text").where("start >= 0")
+    near = at.join(if_small(prefixes, 512), "h").select(*KEY, start.alias("start"), "n", "window_text").where("start >= 0")
     fits = written(near.join(sizes, list(KEY)).where(F.col("start") + F.col("n") <= F.col("n_words")).drop("n_words"), "candidates")
     some = written(fits.select(*KEY).distinct(), "candidate-keys")
     # of repeated rows one is enough: rows of one key have one text
-    of = tokens.join(_small(some), list(KEY), "left_semi").select(*KEY, "_words").dropDuplicates(list(KEY))
+    of = tokens.join(if_small(some), list(KEY), "left_semi").select(*KEY, "_words").dropDuplicates(list(KEY))
     both = fits.join(of, list(KEY))
     return both.where(F.array_join(F.slice("_words", F.col("start") + 1, F.col("n")), " ") == F.col("window_text")).select(*KEY, "start", "n", "window_text")
 
@@ -152,9 +147,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         _covered(F.array_sort(F.collect_set(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n")).alias("end"))))).alias("_hit")
     )
     of = written(windows.select("window_text", F.col("item_id").cast("string").alias("item_id")).where(F.col("item_id").isNotNull()), "window-items")
-    which = occ.select(*KEY, "window_text").join(_small(of, 512), "window_text").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
+    which = occ.select(*KEY, "window_text").join(if_small(of, 512), "window_text").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
     result = written(hit.join(which, list(KEY), "left"), "contaminated")
-    out = found.where("pos = -1").join(_small(result, 1024), list(KEY), "left")
+    out = found.where("pos = -1").join(if_small(result, 1024), list(KEY), "left")
     return out.select(
         "doc_id",
         *(KEY if keys else ()),
