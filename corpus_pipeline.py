@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm.common import KEY, drop_table, table_path, with_key
+from opinara.llm.common import KEY, drop_table, if_small, table_path, with_key, written
 from opinara.llm.decontaminate import decontaminate
 from opinara.llm.factorization import TOXICITY, score, train
 from opinara.llm.line_dedup import dedup_lines
@@ -37,16 +37,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies have 5-word shingles of a Jaccard similarity of 0.8 or more, or op10's fingerprints within 2 bits.
     """
     rows = near_duplicates(docs, keys=True, percent=80)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("s"))
-    kept = first.select(*[F.col(f"s.{k}").alias(k) for k in KEY])
-    return with_key(docs.select(*COLUMNS)).join(kept, list(KEY), "left_semi").dropDuplicates(list(KEY)).select(*COLUMNS)
+    each = written(rows.groupBy(*KEY, "root").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "group-rows")
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("s")).select(*[F.col(f"s.{k}").alias(k) for k in KEY])
+    kept = written(each.join(first, list(KEY), "left_semi"), "kept")
+    # rows that go, and keys that several rows share: only the latter's texts are shuffled, to keep one of them
+    shared = written(kept.where("n > 1").select(*KEY), "shared-keys")
+    others = written(each.join(kept.where("n = 1"), list(KEY), "left_anti").select(*KEY), "other-keys")
+    own = with_key(docs.select(*COLUMNS))
+    alone = own.join(if_small(others), list(KEY), "left_anti")
+    one = own.join(if_small(shared), list(KEY), "left_semi").dropDuplicates(list(KEY))
+    return alone.unionByName(one).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate(docs, items, keys=True).where("contaminated").select(*KEY).distinct()
-    return with_key(docs.select(*COLUMNS)).join(found, list(KEY), "left_anti").select(*COLUMNS)
+    found = written(decontaminate(docs, items, keys=True).where("contaminated").select(*KEY).distinct(), "contaminated-keys")
+    return with_key(docs.select(*COLUMNS)).join(if_small(found), list(KEY), "left_anti").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
