@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,14 @@ def ensure_id(df: DataFrame, text_column: str = "text", id_column: str = "ID") -
         raise ValueError(f"no column {text_column!r}")
     if id_column in df.columns:
         return df
-    return df.rdd.zipWithIndex().toDF("row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema) + ">, n long").select("row.*", F.col("n").alias(id_column))
+    # each task numbers its rows; written, so every read sees the same numbers, which the tasks' counts then make consecutive
+    rows = shared(df.withColumn("_m", F.monotonically_increasing_id()))
+    sizes = {r["_part"]: r["count"] for r in rows.groupBy(F.shiftright("_m", 33).alias("_part")).count().collect()}
+    if not sizes:
+        return rows.withColumnRenamed("_m", id_column)
+    before = dict(zip(sorted(sizes), accumulate([0, *(sizes[p] for p in sorted(sizes))]), strict=False))
+    offset = F.element_at(F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv]), F.shiftright("_m", 33).cast("int"))
+    return rows.withColumn(id_column, (offset + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_m")
 
 
 def explode_pairs(df: DataFrame, left: str = "Targets", right: str = "Stances", outer: bool = True) -> DataFrame:

@@ -59,13 +59,13 @@ def doc_stance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_targets(spark: SparkSession, d: str) -> DataFrame:
-    """The first five distinct long ASCII words of each document."""
-    t = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))), 1, 5)
+    """The distinct long ASCII words of each document, in the order of the alphabet."""
+    t = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))))
     return table(spark, d, "documents").select("doc_id", "lang", "source", t.alias("Targets"))
 
 
 _T = "regexp_extract_all(lower(text), '[a-z]{8,}')"
-T = f"t AS (SELECT doc_id, lang, source, list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: x)[1:5] AS targets FROM (SELECT doc_id, lang, source, {_T} AS w FROM documents))"
+T = f"t AS (SELECT doc_id, lang, source, list_sort(list_distinct(w)) AS targets FROM (SELECT doc_id, lang, source, {_T} AS w FROM documents))"
 E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, label, v, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS n FROM e)"
 
 
@@ -330,10 +330,9 @@ def prompt_parent_chain(spark, d):
     return c.select("conv_id", "turn", text.parent_chain(F.col("parents"), F.col("text")).alias("prompt"))
 
 
-@query("""SELECT conv_id, turn, array_to_string(regexp_extract_all(concat('["', replace(text, ' ', '", "'), '"]'), '"(.*?)"', 1), '|') AS items, trim(split_part(concat('<think>', text, '</think> answer ', role), '</think>', -1)) AS answer,
-CASE WHEN contains(lower(text), 'that') THEN 'favor' ELSE 'neutral' END AS category FROM conversations WHERE NOT contains(text, chr(10))""")
+@query("""SELECT conv_id, turn, array_to_string(regexp_extract_all(concat('["', replace(text, ' ', '", "'), '"]'), '"([^"\n]*)"', 1), '|') AS items, trim(split_part(concat('<think>', text, '</think> answer ', role), '</think>', -1)) AS answer,
+CASE WHEN contains(lower(text), 'that') THEN 'favor' ELSE 'neutral' END AS category FROM conversations""")
 def parse_responses(spark, d):
-    """All turns; the SQL still leaves out those of several lines."""
     t = F.col("text")
     quoted = F.concat(F.lit('["'), F.replace(t, F.lit(" "), F.lit('", "')), F.lit('"]'))
     thought = F.concat(F.lit("<think>"), t, F.lit("</think> answer "), F.col("role"))
@@ -554,8 +553,10 @@ def scaled_sizes(spark, d):
 
 @query()
 def topic_clusters(spark, d):
-    """Target clusters of the document targets with keyphrases and exemplars."""
-    counts = doc_targets(spark, d).select(F.explode("Targets").alias("Target")).groupBy("Target").agg(F.count(F.lit(1)).alias("Count"))
+    """Clusters of the targets that at least one in fifty documents has, with keyphrases and exemplars."""
+    docs = doc_targets(spark, d)
+    counts = docs.select(F.explode("Targets").alias("Target")).groupBy("Target").agg(F.count(F.lit(1)).alias("Count"))
+    counts = counts.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("_n")))).where("50 * Count >= _n").drop("_n")
     t = StancePipeline().vectors(counts).join(counts, "Target")
     c = topics.cluster_targets(t, 0.75)
     return topics.exemplars(c).join(topics.keyphrases(c), "Cluster")
@@ -567,7 +568,63 @@ def bradley_terry(spark, d):
     return spark.createDataFrame(sorted(experiments.bradley_terry(p, "w", "l").items()), "method string, strength double")
 
 
-@query()
+@query(f"""WITH {T}, x AS (SELECT doc_id, targets AS a, list_transform(targets, lambda x: CASE WHEN length(x) % 2 = 0 THEN x ELSE left(x, 7) END) AS b FROM t WHERE len(targets) > 1),
+p AS (SELECT len(list_filter(a, lambda x: list_contains(b, x))) / CAST(len(a) AS DOUBLE) AS p, len(list_filter(b, lambda x: list_contains(a, x))) / CAST(len(b) AS DOUBLE) AS r FROM x)
+SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM p""")
 def bleu_targets(spark, d):
-    t = doc_targets(spark, d).where(F.size("Targets") > 1)
-    return metrics.bleu_targets(t, "Targets", "Targets").select("precision", "recall", "f1")
+    """Targets against a list in which those of odd length are cut to seven letters."""
+    t = doc_targets(spark, d).where(F.size("Targets") > 1).withColumn("Short", F.transform("Targets", lambda x: F.when(F.length(x) % 2 == 0, x).otherwise(F.left(x, F.lit(7)))))
+    got = metrics.bleu_targets(t, "Targets", "Short")  # of single words BLEU is 1 for one that the other list has
+    return got.select(*[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
+
+
+# --- small tables of plots and experiments -------------------------------------------------------
+
+_FLOWS = "f AS (SELECT o_orderstatus AS from_target, substr(o_orderpriority, 1, 1) AS to_target, count(*) AS transition_count FROM orders GROUP BY ALL UNION ALL SELECT substr(o_orderpriority, 1, 1), o_orderstatus, count(*) FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL)"
+
+
+@query(f"WITH {_FLOWS} SELECT least(from_target, to_target) AS a, greatest(from_target, to_target) AS b, CAST(sum(transition_count) AS BIGINT) AS n FROM f GROUP BY ALL")
+def transition_totals(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"), F.substring("o_orderpriority", 1, 1).alias("p"))
+    there = o.groupBy(F.col("s").alias("from_target"), F.col("p").alias("to_target")).agg(F.count(F.lit(1)).alias("transition_count"))
+    back = o.where("o_orderkey % 3 = 0").groupBy(F.col("p").alias("from_target"), F.col("s").alias("to_target")).agg(F.count(F.lit(1)).alias("transition_count"))
+    return dashboard.transition_totals(there.unionByName(back))
+
+
+@query(f"WITH {S}, n AS (SELECT target, count(*) FILTER (author % 2 = 0) AS a, count(*) FILTER (author % 2 = 1) AS b FROM s GROUP BY 1), p AS (SELECT target, a / (SELECT CAST(sum(a) AS DOUBLE) FROM n) AS before, b / (SELECT CAST(sum(b) AS DOUBLE) FROM n) AS after FROM n) SELECT target, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS shift FROM p WHERE abs(after - before) >= 0.001")
+def focus_shift(spark, d):
+    n = stance_long(spark, d).groupBy("target").agg(F.count_if(F.col("author") % 2 == 0).alias("a"), F.count_if(F.col("author") % 2 == 1).alias("b"))
+    p = n.join(F.broadcast(n.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")))).select("target", (F.col("a") / F.col("ta")).alias("before"), (F.col("b") / F.col("tb")).alias("after"))
+    return dashboard.focus_shift(p, 0.001).select("target", *[r6(F.col(c), c) for c in ("before", "after", "shift")])
+
+
+@query(f"WITH {S}, m AS (SELECT max(abs(a)) AS m FROM (SELECT avg(y) AS a FROM s GROUP BY target)) SELECT round(CASE WHEN m > 0.5 THEN 1.0 ELSE m END, 6) AS vmax FROM m")
+def colour_range(spark, d):
+    return dashboard.colour_range(dashboard.semantic_map(stance_long(spark, d))).select(r6(F.col("vmax"), "vmax"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 2) AS mean, round(stddev_samp(o_totalprice), 2) AS std, count(*) AS n FROM orders GROUP BY ALL ORDER BY avg(o_totalprice), 1, 2 LIMIT 5")
+def sweep_summary(spark, d):
+    return experiments.sweep_summary(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice").withColumns({c: F.round(c, 2) for c in ("mean", "std")})
+
+
+@query(f"WITH {S}, v AS (SELECT author, var_samp(y) AS v FROM s GROUP BY 1) SELECT author, count(*) AS n FROM s WHERE author IN (SELECT author FROM v WHERE v >= (SELECT quantile_cont(v, 0.75) FROM v WHERE v IS NOT NULL)) GROUP BY 1")
+def high_variance_targets(spark, d):
+    return experiments.high_variance_targets(stance_long(spark, d), 0.75, "author").groupBy("author").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN toxic END, CASE WHEN doc_id % 2 = 0 THEN quality END, 9) AS label FROM labels")
+def annotator_replay(spark, d):
+    x = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("toxic")).alias("second"), F.when(F.col("doc_id") % 2 == 0, F.col("quality")).alias("first"), F.lit(9).alias("initial"))
+    return experiments.annotator_replay(x, "second", "first", "initial").select("doc_id", "label")
+
+
+@query("""WITH RECURSIVE e AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > (SELECT min(turn) FROM conversations i WHERE i.conv_id = c.conv_id) THEN conv_id * 1000 + lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent FROM conversations c),
+t AS (SELECT id, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.id, t.depth + 1 FROM e JOIN t ON e.parent = t.id) SELECT id, CAST(depth AS BIGINT) AS depth FROM t""")
+def reply_tree_depths(spark, d):
+    """Conversations as trees in which each turn answers the one before."""
+    from opinara.sources.datasets import reply_trees
+
+    number = lambda turn: F.col("conv_id") * 1000 + turn
+    e = table(spark, d, "conversations").select(number(F.col("turn")).alias("id"), "text", number(F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("parent"))
+    return reply_trees(e).select("id", F.size("ParentTexts").cast("long").alias("depth"))

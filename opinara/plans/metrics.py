@@ -132,21 +132,31 @@ def multilabel_similarity_f1(pred: DataFrame, gold: DataFrame, doc: str, vector:
     return both.agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).alias("f1"))
 
 
-def bleu(candidate: list[str], references: list[list[str]], order: int = 4) -> float:
+class References:
+    """What a list of references allows: per order the most occurrences of each n-gram in one of them, and their lengths."""
+
+    def __init__(self, references: list[list[str]], order: int = 4):
+        self.most: list[dict[tuple, int]] = [{} for _ in range(order)]
+        self.lengths = sorted({len(r) for r in references})
+        for r in references:
+            for n, most in enumerate(self.most, 1):
+                for g, c in Counter(tuple(r[i : i + n]) for i in range(len(r) - n + 1)).items():
+                    most[g] = max(most.get(g, 0), c)
+
+
+def bleu(candidate: list[str], references: list[list[str]] | References, order: int = 4) -> float:
     """Sentence BLEU of effective order: n-grams beyond the candidate's length are left out."""
+    refs = references if isinstance(references, References) else References(references, order)
     logs = []
     for n in range(1, min(order, len(candidate)) + 1):
         grams = Counter(tuple(candidate[i : i + n]) for i in range(len(candidate) - n + 1))
-        most: Counter = Counter()
-        for r in references:
-            most |= Counter(tuple(r[i : i + n]) for i in range(len(r) - n + 1))
-        hit = sum(min(c, most[g]) for g, c in grams.items())
+        hit = sum(min(c, refs.most[n - 1].get(g, 0)) for g, c in grams.items())
         if not hit:
             return 0.0
         logs.append(math.log(hit / sum(grams.values())))
     if not logs:
         return 0.0
-    near = min((len(r) for r in references), key=lambda x: (abs(x - len(candidate)), x))
+    near = min(refs.lengths, key=lambda x: (abs(x - len(candidate)), x))
     return math.exp(sum(logs) / len(logs)) * min(1.0, math.exp(1 - near / len(candidate)))
 
 
@@ -158,8 +168,9 @@ def bleu_targets(docs: DataFrame, predicted: str, gold: str) -> DataFrame:
         out = []
         for a, b in zip(pred, ref, strict=True):
             a, b = [x.split() for x in a], [x.split() for x in b]
-            p = sum(bleu(x, b) for x in a) / len(a) if a and b else 0.0
-            r = sum(bleu(x, a) for x in b) / len(b) if a and b else 0.0
+            of_a, of_b = References(a), References(b)  # once for all sentences of the other side
+            p = sum(bleu(x, of_b) for x in a) / len(a) if a and b else 0.0
+            r = sum(bleu(x, of_a) for x in b) / len(b) if a and b else 0.0
             out.append((p, r, 2 * p * r / (p + r) if p + r else 0.0))
         return pd.DataFrame(out, columns=["p", "r", "f"])
 

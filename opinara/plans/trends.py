@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opinara.functions.labels import stance_score
 from opinara.operators.reshape import daily_spine, explode_pairs, grouping_explode
 from opinara.plans import fitters
+from opinara.storage import shared
 
 GROUP = ("target", "filter_type", "filter_value")
 #: Hours of a unit of a time scale; months are 30 days, years 365. Fixed values.
@@ -55,20 +56,28 @@ def daily_volume(groups: DataFrame) -> DataFrame:
     return days.join(counts, [*GROUP, "day"], "left").select(*GROUP, "day", F.coalesce("n", F.lit(0)).cast("long").alias("volume"))
 
 
+#: Beyond so many bandwidths a Gaussian weight is lost in the rounding of a double.
+REACH = 9.0
+
+
 def trend_kernelreg(groups: DataFrame, bandwidth: float, time_scale: str = "1d") -> DataFrame:
     """Gaussian local-linear regression in closed form, on each day of a group's span, clipped to [-1, 1].
 
-    Observations of one hour are summed first: the kernel depends on the hour alone, so the join of hours and days
-    within a group is bounded by the calendar, however many rows there are.
+    Observations of one hour are summed first and written: the kernel depends on the hour alone. Hours and days of a
+    group meet where they are at most :data:`REACH` bandwidths apart, by a join on stretches of that length; so the work grows with the span.
     """
-    spans = spans_of(groups)
+    spans = shared(spans_of(groups))
+    hours = scale_hours(time_scale)
     x = time_units(F.col("createtime"), F.col("d0"), time_scale)
-    bins = groups.join(spans, list(GROUP)).groupBy(*GROUP, x.alias("x")).agg(F.count(F.lit(1)).alias("w"), F.sum("y").alias("sy"))
-    days = daily_spine(spans).withColumn("t", F.datediff("day", "d0") * F.lit(24.0) / scale_hours(time_scale))
+    bins = shared(groups.join(spans, list(GROUP)).groupBy(*GROUP, "d0", x.alias("x")).agg(F.count(F.lit(1)).alias("w"), F.sum("y").alias("sy")))
     h = float(bandwidth)
+    reach = REACH * h
+    days = daily_spine(spans).withColumn("t", F.datediff("day", "d0") * F.lit(24.0) / hours).withColumn("part", F.floor(F.col("t") / reach))
+    near = bins.withColumn("part", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("x") / reach) + k)))
     u = F.col("x") - F.col("t")
     k = F.exp(-(u * u) / (2 * h * h)) / (math.sqrt(2 * math.pi) * h)
-    s = days.join(bins, list(GROUP)).groupBy(*GROUP, "day").agg(
+    met = days.join(near.drop("d0"), [*GROUP, "part"]).where(F.abs(u) <= reach)
+    s = met.groupBy(*GROUP, "day").agg(
         F.sum(k * F.col("w")).alias("s0"), F.sum(k * u * F.col("w")).alias("s1"), F.sum(k * u * u * F.col("w")).alias("s2"), F.sum(k * F.col("sy")).alias("v0"), F.sum(k * u * F.col("sy")).alias("v1")
     )
     n = bins.groupBy(*GROUP).agg(F.sum("w").alias("n"))
@@ -76,7 +85,9 @@ def trend_kernelreg(groups: DataFrame, bandwidth: float, time_scale: str = "1d")
     det = c("s0") * c("s2") - c("s1") * c("s1")
     mean = F.when(F.abs(det) > 1e-10, (c("s2") * c("v0") - c("s1") * c("v1")) / det).otherwise(0.0)
     trend = s.join(n, list(GROUP)).select(*GROUP, "day", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean)).alias("trend_mean"))
-    return daily_volume(groups).join(trend, [*GROUP, "day"])
+    # a bin's hours since the first midnight give its day
+    volume = bins.groupBy(*GROUP, F.date_add("d0", F.floor(F.col("x") * hours / 24 + 1e-9).cast("int")).alias("day")).agg(F.sum("w").alias("volume"))
+    return days.select(*GROUP, "day").join(volume, [*GROUP, "day"], "left").join(trend, [*GROUP, "day"], "left").select(*GROUP, "day", F.coalesce("volume", F.lit(0)).cast("long").alias("volume"), F.coalesce("trend_mean", F.lit(0.0)).alias("trend_mean"))
 
 
 def trend_rolling(groups: DataFrame, days: int = 7) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opinara.storage import shared
 from opinara.functions.labels import replace, replace_strict
 from opinara.functions.text import strip
 from opinara.operators.reshape import diagonal_union, positional_split
@@ -87,13 +88,16 @@ def ctsdt(spark: SparkSession, path: str, max_depth: int = 5) -> DataFrame:
     return df.join(parents, "id", "left").select(F.col("text").alias("Text"), F.coalesce("ParentTexts", F.array().cast("array<string>")).alias("ParentTexts"), F.lit(None).cast("string").alias("Target"), F.col("label").alias("Stance"))
 
 
-def reply_trees(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(id, text, parent, ...) to rows with ParentTexts, oldest first: one join for each level of the tree."""
+def reply_trees(edges: DataFrame) -> DataFrame:
+    """(id, text, parent, ...) to rows with ParentTexts, oldest first: one join for each level of the tree, until a level is empty.
+
+    Rows in a cycle of parents are in no tree and left out.
+    """
     level = edges.where(F.col("parent").isNull()).withColumn("ParentTexts", F.array().cast("array<string>"))
-    out = level
-    for _ in range(max_depth):
+    level = out = shared(level)
+    while not level.isEmpty():
         up = level.select(F.col("id").alias("parent"), F.concat("ParentTexts", F.array("text")).alias("ParentTexts"))
-        level = edges.join(up, "parent").select(*out.columns)
+        level = shared(edges.join(up, "parent").select(*out.columns))
         out = out.unionByName(level)
     return out
 
@@ -113,10 +117,10 @@ def finalise(df: DataFrame, dataset: str, group: bool = True, map_labels: bool =
     """Canonical columns; with ``group`` one row for each text with parallel target and stance lists."""
     if map_labels and "Stance" in df.columns:
         df = df.withColumn("Stance", replace_strict(F.col("Stance"), LABELS))
-    df = df.dropDuplicates(["Text", "Target"]) if dict(df.dtypes)["Target"] == "string" else df
+    df = df.groupBy("Text", "Target").agg(*[F.min(c).alias(c) for c in df.columns if c not in ("Text", "Target")]) if dict(df.dtypes)["Target"] == "string" else df
     extra = [c for c in ("ParentTexts", "Context") if c in df.columns]
     if group and dict(df.dtypes)["Target"] == "string" and "Stance" in df.columns:
-        packed = df.groupBy("Text").agg(F.array_sort(F.collect_list(F.struct("Target", "Stance"))).alias("l"), *[F.first(c).alias(c) for c in extra])
+        packed = df.groupBy("Text").agg(F.array_sort(F.collect_list(F.struct("Target", "Stance"))).alias("l"), *[F.min(c).alias(c) for c in extra])
         df = packed.select("Text", F.col("l.Target").alias("Target"), F.col("l.Stance").alias("Stance"), *extra)
     df = df.withColumn("Dataset", F.lit(dataset))
     return df.select(*[c for c in CANONICAL if c in df.columns])
