@@ -46,7 +46,7 @@ KINDS = ("assign", "access", "hex", "crf")
 #: A token does not end in a full stop. A run beyond ASCII is one token.
 TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]*[A-Za-z0-9+/_\-]={0,2}|[^\x00-\x7F]+|[^\sA-Za-z0-9]")
 #: Cached tokens are forgotten beyond this many, so a worker's memory stays bounded.
-CACHE = 200_000
+CACHE = 600_000
 HAS_SIGN = re.compile("[:=]")
 BITS = 18
 B, I, O = 0, 1, 2  # noqa: E741
@@ -78,26 +78,28 @@ def _hash(names: list[str]) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
 
 
+KINDS_OF_SIGN = [("A", re.compile("[A-Z]")), ("a", re.compile("[a-z]")), ("0", re.compile("[0-9]")), ("s", re.compile(r"[+/_.\-]")), ("x", re.compile(r"[^\x00-\x7F]"))]
+
+
 def own_features(token: str) -> list[int]:
     """The features of a token itself."""
     bare = token.rstrip("=")
-    mix = "".join(k for k, r in (("A", "[A-Z]"), ("a", "[a-z]"), ("0", "[0-9]"), ("s", r"[+/_.\-]"), ("x", r"[^\x00-\x7F]")) if re.search(r, bare))
-    counts = Counter(bare)
-    entropy = -sum(c / len(bare) * math.log2(c / len(bare)) for c in counts.values()) if bare else 0.0
+    mix, form, n = "".join(k for k, r in KINDS_OF_SIGN if r.search(bare)), shape(bare), len(bare)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(bare).values()) if bare else 0.0
     return _hash([
-        "bias", f"shape:{shape(bare)}", f"turns:{min(8, len(shape(bare)))}", f"mix:{mix}", f"length:{min(12, len(bare) // 4)}", f"entropy:{int(2 * entropy)}", f"start:{bare[:4].lower()}",
-        f"both:{mix}:{min(12, len(bare) // 4)}", f"digits:{sum(map(str.isdigit, bare)) * 5 // max(1, len(bare))}", f"word:{token.lower()[:12]}",
+        "bias", f"shape:{form}", f"turns:{min(8, len(form))}", f"mix:{mix}", f"length:{min(12, n // 4)}", f"entropy:{int(2 * entropy)}", f"start:{bare[:4].lower()}",
+        f"both:{mix}:{min(12, n // 4)}", f"digits:{sum(map(str.isdigit, bare)) * 5 // max(1, n)}", f"word:{token.lower()[:12]}",
     ])
 
 
-def seen_features(token: str, place: str) -> list[int]:
-    """The features of a token as seen from a neighbour."""
-    low = token.lower()[:12]
-    kind = f"{min(6, len(token) // 4)}:{'0' * any(map(str.isdigit, token))}{'a' * any(map(str.isalpha, token))}"
-    return _hash([f"{place}:{low}", f"{place}:kind:{kind}"])
+PLACES = ("back", "back2", "next")
 
 
-PLACES = ("back", "back2", "next")
+def seen_features(token: str, places: tuple[str, ...]) -> list[int]:
+    """The features of a token as seen from a neighbour, two for each of ``places``."""
+    low = token.lower()[:12]
+    kind = f"{min(6, len(token) // 4)}:{'0' * any(map(str.isdigit, token))}{'a' * any(map(str.isalpha, token))}"
+    return _hash([x for p in places for x in (f"{p}:{low}", f"{p}:kind:{kind}")])
 
 
 class Tagger:
@@ -127,7 +129,7 @@ class Tagger:
             self._at, self._rows = {}, np.zeros((1024, 4, 3))
         at = self._at
         if not at:
-            self._rows[0, 1:] = [self.w[seen_features("", p)].sum(0) for p in PLACES]
+            self._rows[0, 1:] = [self.w[seen_features("", (p,))].sum(0) for p in PLACES]
             at[""] = 0
         out = [at.get(x, -1) for x in tokens]
         for i in [i for i, k in enumerate(out) if k < 0]:
@@ -137,8 +139,7 @@ class Tagger:
                 if k >= len(self._rows):
                     self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
                 own = own_features(x)
-                seen = [h for p in PLACES for h in seen_features(x, p)]
-                self._rows[k] = np.add.reduceat(self.w[own + seen], [0, *range(len(own), len(own) + len(seen), len(seen) // len(PLACES))])
+                self._rows[k] = np.add.reduceat(self.w[own + seen_features(x, PLACES)], [0, len(own), len(own) + 2, len(own) + 4])
             out[i] = k
         return np.array(out, np.int64)
 
@@ -274,7 +275,7 @@ def fit_tagger(lines: list[tuple[str, list[tuple[int, int]]]] | None = None, ste
         at = lambda j: tokens[j] if 0 <= j < len(tokens) else ""  # noqa: E731, B023
         inside = [next((s for s in spans if s[0] <= m.start() < s[1]), None) for m in found]
         chains.append((
-            [own_features(x) + [h for p, d in zip(PLACES, (-1, -2, 1), strict=True) for h in seen_features(at(k + d), p)] + file for k, x in enumerate(tokens)],
+            [own_features(x) + [h for p, d in zip(PLACES, (-1, -2, 1), strict=True) for h in seen_features(at(k + d), (p,))] + file for k, x in enumerate(tokens)],
             [O if s is None else B if m.start() == s[0] else I for m, s in zip(found, inside, strict=True)],
         ))
     n, longest = len(chains), max(len(c[0]) for c in chains)
