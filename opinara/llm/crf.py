@@ -22,11 +22,12 @@ beyond id and text are ignored. A text costs its length.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import random
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,10 +63,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], a, b) for a, k, b in sorted(out)]
 
 
+#: ASCII letters and digits to the class that stands for them.
+CLASS = {**{ord(c): c0 for c0, r in (("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("a", "abcdefghijklmnopqrstuvwxyz"), ("0", "0123456789")) for c in r}}
+RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
+def classes(token: str) -> str:
+    """A for upper case, a for lower case, 0 for digits; other characters as they are."""
+    if token.isascii():
+        return token.translate(CLASS)
+    return "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in token)
+
+
 def shape(token: str) -> str:
     """Runs of upper case, lower case, digits and signs, one letter each."""
-    kinds = ["A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in token]
-    return "".join(k for k, before in zip(kinds, ["", *kinds], strict=False) if k != before)[:12]
+    return RUN.sub(r"\1", classes(token))[:12]
 
 
 def file_features(text: str) -> tuple[str, ...]:
@@ -74,32 +86,69 @@ def file_features(text: str) -> tuple[str, ...]:
     return (f"file:signs:{min(4, int(200 * signs / n))}", f"file:lines:{min(4, text.count(chr(10)) * 400 // n)}")
 
 
+MASK = (1 << BITS) - 1
+
+
+def _bytes(x: str) -> bytes:
+    return x.encode("utf-8", "surrogatepass")
+
+
 def _hash(names: list[str]) -> list[int]:
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
+    return [zlib.crc32(_bytes(x)) & MASK for x in names]
+
 
+#: The checksum of what a feature's name begins with; that of the name goes on from it.
+BEGUN = {x: zlib.crc32(x.encode()) for x in ("shape:", "start:", "word:", "back:", "back2:", "next:")}
+SIGN = re.compile(r"[+/_.\-]")
+BEYOND = re.compile(r"[^\x00-\x7F]")
 
-KINDS_OF_SIGN = [("A", re.compile("[A-Z]")), ("a", re.compile("[a-z]")), ("0", re.compile("[0-9]")), ("s", re.compile(r"[+/_.\-]")), ("x", re.compile(r"[^\x00-\x7F]"))]
+
+@functools.lru_cache(4096)
+def _rough(mix: str, turns: int, length: int, entropy: int, digits: int) -> tuple[int, ...]:
+    """The features that few values are possible for."""
+    return tuple(_hash(["bias", f"turns:{turns}", f"mix:{mix}", f"length:{length}", f"entropy:{entropy}", f"both:{mix}:{length}", f"digits:{digits}"]))
+
+
+@functools.lru_cache(4096)
+def _share(count: int, n: int) -> float:
+    return count / n * math.log2(count / n)
 
 
 def own_features(token: str) -> list[int]:
-    """The features of a token itself."""
+    """The features of a token itself: shape, number of its turns, kinds of characters, length, entropy, share of digits, how it starts, and itself."""
     bare = token.rstrip("=")
-    mix, form, n = "".join(k for k, r in KINDS_OF_SIGN if r.search(bare)), shape(bare), len(bare)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(bare).values()) if bare else 0.0
-    return _hash([
-        "bias", f"shape:{form}", f"turns:{min(8, len(form))}", f"mix:{mix}", f"length:{min(12, n // 4)}", f"entropy:{int(2 * entropy)}", f"start:{bare[:4].lower()}",
-        f"both:{mix}:{min(12, n // 4)}", f"digits:{sum(map(str.isdigit, bare)) * 5 // max(1, n)}", f"word:{token.lower()[:12]}",
-    ])
+    kinds, n, low = classes(bare), len(bare), _bytes(token.lower()[:12])
+    form = RUN.sub(r"\1", kinds)[:12]
+    if bare.isascii():
+        mix = "A" * ("A" in kinds) + "a" * ("a" in kinds) + "0" * ("0" in kinds) + "s" * bool(SIGN.search(kinds))
+    else:
+        mix = "x"  # a run beyond ASCII is a token of its own
+    entropy = -sum([_share(bare.count(c), n) for c in dict.fromkeys(bare)]) if bare else 0.0
+    return [
+        zlib.crc32(_bytes(form), BEGUN["shape:"]) & MASK, zlib.crc32(_bytes(bare[:4].lower()), BEGUN["start:"]) & MASK, zlib.crc32(low, BEGUN["word:"]) & MASK,
+        *_rough(mix, min(8, len(form)), min(12, n // 4), int(2 * entropy), kinds.count("0") * 5 // max(1, n)),
+    ]
 
 
 PLACES = ("back", "back2", "next")
 
 
+@functools.lru_cache(4096)
+def _seen_kind(place: str, length: int, digit: bool, letter: bool) -> int:
+    return _hash([f"{place}:kind:{length}:{'0' * digit}{'a' * letter}"])[0]
+
+
 def seen_features(token: str, places: tuple[str, ...]) -> list[int]:
     """The features of a token as seen from a neighbour, two for each of ``places``."""
-    low = token.lower()[:12]
-    kind = f"{min(6, len(token) // 4)}:{'0' * any(map(str.isdigit, token))}{'a' * any(map(str.isalpha, token))}"
-    return _hash([x for p in places for x in (f"{p}:{low}", f"{p}:kind:{kind}")])
+    low, kinds = _bytes(token.lower()[:12]), classes(token)
+    if token.isascii():
+        digit, letter = "0" in kinds, "a" in kinds or "A" in kinds
+    else:
+        digit, letter = any(map(str.isdigit, token)), any(map(str.isalpha, token))
+    length, out = min(6, len(token) // 4), []
+    for p in places:
+        out += [zlib.crc32(low, BEGUN[p + ":"]) & MASK, _seen_kind(p, length, digit, letter)]
+    return out
 
 
 class Tagger:
@@ -131,26 +180,35 @@ class Tagger:
         if not at:
             self._rows[0, 1:] = [self.w[seen_features("", (p,))].sum(0) for p in PLACES]
             at[""] = 0
-        out = [at.get(x, -1) for x in tokens]
-        for i in [i for i, k in enumerate(out) if k < 0]:
-            x = tokens[i]
-            if (k := at.get(x, -1)) < 0:
-                k = at[x] = len(at)
-                if k >= len(self._rows):
-                    self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-                own = own_features(x)
-                self._rows[k] = np.add.reduceat(self.w[own + seen_features(x, PLACES)], [0, len(own), len(own) + 2, len(own) + 4])
-            out[i] = k
+        out = list(map(at.get, tokens))
+        if None in out:
+            new = list(dict.fromkeys(x for x, k in zip(tokens, out, strict=True) if k is None))
+            first = len(at)
+            while first + len(new) > len(self._rows):
+                self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+            for i in range(0, len(new), 4096):  # a text of many new tokens takes no more memory than these
+                part = new[i : i + 4096]
+                w = self.w[np.array([own_features(x) + seen_features(x, PLACES) for x in part])]
+                self._rows[first + i : first + i + len(part)] = np.add.reduceat(w, [0, w.shape[1] - 6, w.shape[1] - 4, w.shape[1] - 2], axis=1)
+            at.update(zip(new, range(first, first + len(new)), strict=True))
+            out = list(map(at.get, tokens))
         return np.array(out, np.int64)
 
     def emissions(self, tokens: list[str], file: tuple[str, ...]) -> np.ndarray:
-        ids = self._ids(tokens)
-        e = self._rows[ids, 0] + self.w[_hash(list(file))].sum(0)
-        e += self._rows[np.r_[0, ids[:-1]], 1]
-        e += self._rows[np.r_[0, 0, ids[:-2]][: len(ids)], 2]
-        e += self._rows[np.r_[ids[1:], 0], 3]
+        r = self._rows_of(tokens)
+        none = self._rows[0]
+        e = r[:, 0] + self.w[_hash(list(file))].sum(0)
+        for place, d in ((1, 1), (2, 2)):  # the one before, the second before
+            e[:d] += none[place]
+            e[d:] += r[:-d, place]
+        e[:-1] += r[1:, 3]
+        e[-1] += none[3]
         return e
 
+    def _rows_of(self, tokens: list[str]) -> np.ndarray:
+        ids = self._ids(tokens)  # before the table is read: it may grow
+        return self._rows[ids]
+
     def viterbi(self, emit: np.ndarray) -> list[int]:
         """The best tags of a chain that has O before and behind it."""
         best, back = self.t[O] + emit[0], []
@@ -180,9 +238,18 @@ class Tagger:
         at = np.flatnonzero(self.open_tokens(emit))
         if not len(at):
             return []
-        out, places = [], [m.span() for m in TOKEN.finditer(text)]
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-            out += _joined(self.viterbi(emit[run[0] : run[-1] + 1]), places[run[0] : run[-1] + 1])
+        cuts = np.flatnonzero(np.diff(at) > 1) + 1
+        begins, ends = at[np.r_[0, cuts]], at[np.r_[cuts - 1, len(at) - 1]] + 1
+        alone = ends - begins == 1
+        # a run of one token is a secret or not
+        e, t = emit[begins], self.t
+        drop = alone & ((t[O, B] + e[:, B]) + t[B, O] < (t[O, O] + e[:, O]) + t[O, O])
+        begins, ends = begins[~drop].tolist(), ends[~drop].tolist()
+        if not begins:
+            return []
+        out, places = [], [m.span() for m in itertools.islice(TOKEN.finditer(text), ends[-1])]
+        for a, b in zip(begins, ends, strict=True):
+            out += [places[a]] if b - a == 1 else _joined(self.viterbi(emit[a:b]), places[a:b])
         return out
 
     def spans_by_full_chain(self, text: str) -> list[tuple[int, int]]:
