@@ -30,3 +30,18 @@ def stance_score(label: Column, target_type: str = "noun-phrases") -> Column:
     if target_type not in SCORES:
         raise ValueError(f"unknown target type {target_type!r}")
     return replace_strict(F.upper(label), SCORES[target_type])
+
+
+#: Ends of the named ranges of a mean stance: fixed values. The lower ones are tried first.
+AGAINST = ((-0.67, "Strongly Against"), (-0.33, "Against"), (-0.1, "Slightly Against"))
+FOR = ((0.67, "Strongly For"), (0.33, "For"), (0.1, "Slightly For"))
+
+
+def stance_bucket(mean: Column) -> Column:
+    """The name of a mean stance's range; Unknown for null."""
+    name = F.when(mean.isNull(), "Unknown")
+    for end, label in AGAINST:
+        name = name.when(mean <= end, label)
+    for end, label in FOR:
+        name = name.when(mean >= end, label)
+    return name.otherwise("Neutral")

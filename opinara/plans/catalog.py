@@ -340,7 +340,7 @@ def parse_responses(spark, d):
     return c.select("conv_id", "turn", F.array_join(text.parse_quoted_list(quoted), "|").alias("items"), text.parse_thinking(thought).alias("answer"), text.parse_category(F.replace(F.lower(t), F.lit("that"), F.lit("in favor")), "stance-classification").alias("category"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM w), c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(g) AS x FROM g) GROUP BY ALL)
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM w), c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(g) AS x FROM g) GROUP BY ALL)
 SELECT w.doc_id, coalesce(max(n), 0) AS repetition FROM w LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def ngram_repetition(spark, d):
     return table(spark, d, "documents").select("doc_id", text.max_ngram_repetition(F.col("text"), 2).cast("long").alias("repetition"))
@@ -628,3 +628,81 @@ def reply_tree_depths(spark, d):
     number = lambda turn: F.col("conv_id") * 1000 + turn
     e = table(spark, d, "conversations").select(number(F.col("turn")).alias("id"), "text", number(F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("parent"))
     return reply_trees(e).select("id", F.size("ParentTexts").cast("long").alias("depth"))
+
+
+# --- stream plot, monthly windows, labels --------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT o_custkey AS author, o_orderpriority AS target, o_orderdate AS createtime FROM orders), busy AS (SELECT author FROM s GROUP BY 1 HAVING count(*) >= 10), m AS (SELECT author, target, CAST(date_trunc('month', createtime) AS DATE) AS w FROM s), f AS (SELECT min(w) AS f FROM m),
+r AS (SELECT * FROM m UNION ALL SELECT author, target, CAST(w - INTERVAL 1 MONTH AS DATE) FROM m), n AS (SELECT author, w, target, count(*) AS n FROM r, f WHERE w >= f AND author IN (SELECT author FROM busy) GROUP BY ALL),
+top AS (SELECT author, w, min_by(target, (-n, target)) AS to_target FROM n GROUP BY ALL), l AS (SELECT *, lag(to_target) OVER (PARTITION BY author ORDER BY w) AS from_target FROM top)
+SELECT w AS createtime, from_target, to_target, count(*) AS transition_count FROM l WHERE from_target <> to_target GROUP BY ALL HAVING count(*) >= 3""")
+def transitions_monthly(spark, d):
+    """Customers' priorities over the years of their orders."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("author"), F.col("o_orderpriority").alias("target"), F.col("o_orderdate").alias("createtime"))
+    return dashboard.transitions_monthly(o)
+
+
+_STREAM = f"""{S}, t AS (SELECT CAST(author AS VARCHAR) AS filter_value, CAST(createtime AS DATE) AS day, avg(y) FILTER (target = 'click') AS cm, count(*) FILTER (target = 'click') AS cv, avg(y) FILTER (target = 'view') AS vm, count(*) FILTER (target = 'view') AS vv FROM s WHERE target IN ('click', 'view') GROUP BY ALL),
+z AS (SELECT filter_value, day, coalesce(first_value(cm IGNORE NULLS) OVER a, last_value(cm IGNORE NULLS) OVER b) AS cm, coalesce(first_value(vm IGNORE NULLS) OVER a, last_value(vm IGNORE NULLS) OVER b) AS vm, CASE WHEN count(*) OVER c = 3 THEN avg(cv) OVER c ELSE 0 END AS cv, CASE WHEN count(*) OVER c = 3 THEN avg(vv) OVER c ELSE 0 END AS vv
+FROM t WINDOW a AS (PARTITION BY filter_value ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b AS (PARTITION BY filter_value ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY filter_value ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
+
+
+def daily_trend(spark, d) -> DataFrame:
+    """Daily mean stance and volume of each author, on two targets."""
+    s = stance_long(spark, d).where(F.col("target").isin("click", "view"))
+    return s.groupBy("target", F.col("author").cast("string").alias("filter_value"), F.to_date("createtime").alias("day")).agg(F.avg("y").alias("trend_mean"), F.count(F.lit(1)).alias("volume"))
+
+
+@query(f"WITH {_STREAM} SELECT filter_value, day, round(coalesce(cm, (SELECT avg(cm) FROM z)), 6) AS click_mean, round(coalesce(vm, (SELECT avg(vm) FROM z)), 6) AS view_mean, round(cv, 6) AS click_volume, round(vv, 6) AS view_volume FROM z")
+def stream_table(spark, d):
+    t = dashboard.stream_table(daily_trend(spark, d), ["click", "view"])
+    return t.select("filter_value", "day", *[r6(F.col(c), c) for c in t.columns[2:]])
+
+
+@query()
+def stream_plot(spark, d):
+    return dashboard.stream_plot(daily_trend(spark, d), ["click", "view"])
+
+
+@query(f"WITH {S}, m AS (SELECT author, target, avg(y) AS m FROM s GROUP BY ALL) SELECT author, target, CASE WHEN m <= -0.67 THEN 'Strongly Against' WHEN m <= -0.33 THEN 'Against' WHEN m <= -0.1 THEN 'Slightly Against' WHEN m >= 0.67 THEN 'Strongly For' WHEN m >= 0.33 THEN 'For' WHEN m >= 0.1 THEN 'Slightly For' ELSE 'Neutral' END AS bucket FROM m")
+def stance_buckets(spark, d):
+    m = stance_long(spark, d).groupBy("author", "target").agg(F.avg("y").alias("m"))
+    return m.select("author", "target", labels.stance_bucket(F.col("m")).alias("bucket"))
+
+
+@query(f"WITH {S}, c AS (SELECT author, target, avg(y) AS m FROM s GROUP BY ALL), v AS (SELECT var_pop(m) AS v FROM c GROUP BY target) SELECT round(avg(v), 6) AS stance_variance FROM v")
+def matrix_variance(spark, d):
+    return metrics.matrix_variance(stance_long(spark, d), "author", "target").select(r6(F.col("stance_variance"), "stance_variance"))
+
+
+@query(f"WITH {_GP}, l AS (SELECT reference AS label FROM gp UNION SELECT prediction FROM gp) SELECT label, round(coalesce(h / nullif(CAST(p AS DOUBLE), 0), 0), 6) AS precision, round(coalesce(h / nullif(CAST(r AS DOUBLE), 0), 0), 6) AS recall, round(2 * h / CAST(p + r AS DOUBLE), 6) AS f1, r AS support FROM (SELECT label, (SELECT count(*) FROM gp WHERE prediction = label) AS p, (SELECT count(*) FROM gp WHERE reference = label) AS r, (SELECT count(*) FROM gp WHERE reference = label AND prediction = label) AS h FROM l)")
+def label_scores(spark, d):
+    s = metrics.label_scores(_gold_pred(spark, d))
+    return s.select("label", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("WITH n AS (SELECT DISTINCT o_orderpriority AS x FROM orders) SELECT a.x AS a, b.x AS b, substr(sha256(a.x), 1, 8) AS label_a FROM n a JOIN n b ON a.x < b.x")
+def method_pairs(spark, d):
+    return experiments.name_pairs(table(spark, d, "orders"), "o_orderpriority").withColumn("label_a", text.blind_label(F.col("a")))
+
+
+@query("SELECT round(avg((l_discount - l_tax) * (l_discount - l_tax)), 6) AS mse FROM lineitem")
+def mean_squared_error(spark, d):
+    i = table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_discount", "l_tax")])
+    return experiments.mean_squared_error(i, "l_discount", "l_tax").select(r6(F.col("mse"), "mse"))
+
+
+@query("""WITH g AS (SELECT conv_id, list(role ORDER BY turn) AS r, sum(length(text)) AS n FROM conversations GROUP BY 1), k AS (SELECT conv_id, list_sort(list_distinct(r)) AS r FROM g WHERE n < 2000)
+SELECT conv_id, array_to_string(list_transform(list_sort(list_transform(r, lambda x: lpad(CAST(length(x) AS VARCHAR), 4, '0') || x)), lambda x: '"' || substr(x, 5) || '"'), ', ') AS roles FROM k""")
+def short_threads(spark, d):
+    """Conversations of under 2000 characters with their roles, shortest first, quoted."""
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("texts"), F.collect_set("role").alias("roles"))
+    return g.where(text.shorter_than(F.col("texts"), 2000)).select("conv_id", text.quoted_list(arrays.by_length(F.col("roles"))).alias("roles"))
+
+
+@query(f"WITH {E}, g AS (SELECT vec_id, n FROM u WHERE vec_id % 50 = 0), s AS (SELECT p.vec_id AS target, g.vec_id AS m, list_inner_product(p.n, g.n) AS s FROM u p, g) SELECT target, max_by(m, (s, m)) AS match FROM s WHERE s >= 0.35 GROUP BY 1")
+def closest_targets(spark, d):
+    """The nearest of the stated query vectors (ids divisible by 50)."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("target"), "v")
+    return topics.closest(v, v.where("target % 50 = 0"), floor=0.35)

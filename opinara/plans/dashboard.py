@@ -57,6 +57,46 @@ def transitions(long: DataFrame, every_days: int, min_posts: int = 10, min_flow:
     return changed.where(F.col("transition_count") >= min_flow).select(day.alias("createtime"), "from_target", "to_target", "transition_count")
 
 
+def transitions_monthly(long: DataFrame, min_posts: int = 10, min_flow: int = 3) -> DataFrame:
+    """:func:`transitions` between calendar windows of two months, one starting each month."""
+    busy = long.groupBy("author").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_posts).select("author")
+    month = F.trunc("createtime", "month")
+    first = long.agg(F.min(month).alias("_f"))
+    rows = long.join(busy, "author", "left_semi").select("author", "target", F.explode(F.array(month, F.add_months(month, -1))).alias("w"))
+    n = rows.join(F.broadcast(first)).where("w >= _f").groupBy("author", "w", "target").agg(F.count(F.lit(1)).alias("n"))
+    top = n.groupBy("author", "w").agg(F.min_by("target", F.struct(-F.col("n"), "target")).alias("to_target"))
+    lagged = top.withColumn("from_target", F.lag("to_target").over(Window.partitionBy("author").orderBy("w")))
+    changed = lagged.where("from_target <> to_target").groupBy(F.col("w").alias("createtime"), "from_target", "to_target").agg(F.count(F.lit(1)).alias("transition_count"))
+    return changed.where(F.col("transition_count") >= min_flow)
+
+
+def stream_table(trend: DataFrame, targets: list[str]) -> DataFrame:
+    """A row for each (filter_value, day), two columns for each target: mean and volume.
+
+    A missing mean is the series' next one, else its last one, else the mean of the column; a missing volume is 0, and volumes are
+    rolling means of three days, 0 where incomplete. A series has a row a day, so a window's partition is bounded by the calendar.
+    """
+    wide = trend.groupBy("filter_value", "day").pivot("target", targets).agg(F.first("trend_mean").alias("mean"), F.first("volume").alias("volume"))
+    w = Window.partitionBy("filter_value").orderBy("day")
+    ahead, behind, three = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-2, 0)
+    c = lambda t, what: F.col(f"`{t}_{what}`")
+    filled = wide.select("filter_value", "day", *[F.coalesce(F.first(c(t, "mean"), True).over(ahead), F.last(c(t, "mean"), True).over(behind)).alias(f"{t}_mean") for t in targets],
+        *[F.when(F.count(F.lit(1)).over(three) == 3, F.avg(F.coalesce(c(t, "volume"), F.lit(0))).over(three)).otherwise(0.0).alias(f"{t}_volume") for t in targets])
+    means = filled.agg(*[F.avg(c(t, "mean")).alias(f"_{i}") for i, t in enumerate(targets)])
+    joined = filled.join(F.broadcast(means))  # one row
+    return joined.select("filter_value", "day", *[F.coalesce(c(t, "mean"), F.col(f"_{i}"), F.lit(0.0)).alias(f"{t}_mean") for i, t in enumerate(targets)], *[c(t, "volume").alias(f"{t}_volume") for t in targets])
+
+
+def stream_plot(trend: DataFrame, targets: list[str]) -> DataFrame:
+    """(filter_value, day, year, x, y, u, v): two principal components of :func:`stream_table` and their change from day to day."""
+    wide = stream_table(trend, targets)
+    # columns are renamed: a target's name may hold a full stop
+    names = [f"_c{i}" for i in range(2 * len(targets))]
+    at = pca(wide.toDF("filter_value", "day", *names), names).select("filter_value", "day", F.col("components")[0].alias("x"), F.col("components")[1].alias("y"))
+    flow = flow_field(at, "filter_value", "day")
+    return flow.select("filter_value", "day", F.year("day").alias("year"), "x", "y", "u", "v")
+
+
 def semantic_map(long: DataFrame, top: int = 30) -> DataFrame:
     g = long.groupBy("target").agg(F.avg("y").alias("mean_stance"), F.count(F.lit(1)).alias("n"))
     return g.orderBy(F.desc("n"), "target").limit(top)

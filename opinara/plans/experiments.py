@@ -132,3 +132,14 @@ def latex_table(rows: list[tuple[str, dict[str, float]]], higher: dict[str, bool
         cells = [rf"\textbf{{{values[m]:.3f}}}" if values[m] == rank[m][0] else rf"\underline{{{values[m]:.3f}}}" if len(rank[m]) > 1 and values[m] == rank[m][1] else f"{values[m]:.3f}" for m in higher]
         lines.append(f"{name} & " + " & ".join(cells) + r" \\")
     return "\n".join(lines)
+
+
+def name_pairs(df: DataFrame, name: str) -> DataFrame:
+    """(a, b): all pairs of the distinct values of a column of few values, each once, a before b."""
+    names = df.select(name).where(F.col(name).isNotNull()).distinct()
+    every = names.agg(F.array_sort(F.collect_set(name)).alias("_l"))
+    return every.select(F.posexplode("_l").alias("_i", "a"), "_l").select("a", F.explode(F.slice("_l", F.col("_i") + 2, F.size("_l"))).alias("b"))
+
+
+def mean_squared_error(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.agg(F.avg((F.col(a) - F.col(b)) ** 2).alias("mse"))

@@ -18,6 +18,12 @@ def stance_variance(long: DataFrame, target: str = "target", y: str = "y") -> Da
     return long.groupBy(target).agg(F.var_samp(y).alias("v")).agg(F.avg("v").alias("stance_variance"))
 
 
+def matrix_variance(long: DataFrame, row: str, column: str, y: str = "y") -> DataFrame:
+    """The mean over a matrix's columns of the population variance of what its rows have there (their means); gaps do not count."""
+    cells = long.groupBy(row, column).agg(F.avg(y).alias("_m"))
+    return cells.groupBy(column).agg(F.var_pop("_m").alias("_v")).agg(F.avg("_v").alias("stance_variance"))
+
+
 def cluster_sizes(long: DataFrame, n_docs: int | None, doc: str = "doc", target: str = "target") -> DataFrame:
     """Mean size ratio, entropy, range and their product, over the number of documents of each target."""
     sizes = long.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
@@ -72,6 +78,16 @@ def classification_report(df: DataFrame, by: str, reference: str = "reference",
     return acc.join(macro, "dataset")
 
 
+def label_scores(df: DataFrame, reference: str = "reference", prediction: str = "prediction") -> DataFrame:
+    """(label, precision, recall, f1, support) for each label of either side; a quotient without a denominator is 0."""
+    cells = confusion(df, reference, prediction)
+    r, p = F.col(reference), F.col(prediction)
+    sides = cells.select(F.inline(F.array(F.struct(r.alias("label"), F.col("n").alias("ref"), F.lit(0).cast("long").alias("pred"), F.when(r == p, F.col("n")).otherwise(0).alias("hit")), F.struct(p.alias("label"), F.lit(0).cast("long").alias("ref"), F.col("n").alias("pred"), F.lit(0).cast("long").alias("hit")))))
+    s = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("ref", "pred", "hit")])
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return s.select("label", part(F.col("hit"), F.col("pred")).alias("precision"), part(F.col("hit"), F.col("ref")).alias("recall"), part(2 * F.col("hit"), F.col("ref") + F.col("pred")).alias("f1"), F.col("ref").alias("support"))
+
+
 def fleiss_kappa(ratings: DataFrame, subject: str, category: str) -> DataFrame:
     """Agreement over subjects with the same number (two or more) of ratings each."""
     cells = ratings.groupBy(subject, category).agg(F.count(F.lit(1)).alias("_n"))
@@ -124,12 +140,14 @@ def mean_pair_cosine(df: DataFrame, by: str, vector: str) -> DataFrame:
 
 
 def multilabel_similarity_f1(pred: DataFrame, gold: DataFrame, doc: str, vector: str) -> DataFrame:
-    """Mean over documents of precision, recall and F1 of best cosines between a document's predicted and gold targets."""
+    """Mean over documents of precision, recall and F1 of best cosines between a document's predicted and gold targets; 0 where one side has none."""
     p, g = pred.select(doc, F.monotonically_increasing_id().alias("pi"), normalise(F.col(vector)).alias("p")), gold.select(doc, F.monotonically_increasing_id().alias("gi"), normalise(F.col(vector)).alias("g"))
     s = p.join(g, doc).select(doc, "pi", "gi", dot(F.col("p"), F.col("g")).alias("s"))
     best = lambda i, name: s.groupBy(doc, i).agg(F.max("s").alias("m")).groupBy(doc).agg(F.avg("m").alias(name))
-    both = best("pi", "p").join(best("gi", "r"), doc)
-    return both.agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).alias("f1"))
+    every = pred.select(doc).unionByName(gold.select(doc)).distinct()
+    both = every.join(best("pi", "p").join(best("gi", "r"), doc), doc, "left").na.fill(0.0, ["p", "r"])
+    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return both.agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg(f1).alias("f1"))
 
 
 class References:
