@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from itertools import permutations
+
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1 = rf"""
@@ -93,4 +95,36 @@ SELECT d.doc_id, d.leaf, r.h AS subroot, top.h AS root, coalesce(proof.p, sha256
 FROM d JOIN r ON r.g = d.g JOIN (SELECT h FROM u WHERE n = 1) AS top ON true LEFT JOIN proof ON proof.k = d.k JOIN f ON f.k = d.k AND f.i = coalesce(proof.steps, 0)
 """
 
-ORACLES = {"op6_warc": OP6, "op1_decontaminate": OP1, "op5_line_dedup": OP5, "op11_merkle_manifest": OP11}
+_ORDERS = ["".join(p) for p in permutations("ABCDE")]
+_BIT = {f: 1 << i for i, f in enumerate("ABCDE")}
+_STEPS = ", ".join(
+    f"('{o}', {k + 1}, {_BIT[f]}, {sum(_BIT[x] for x in o[:k])})" for o in _ORDERS for k, f in enumerate(o)
+)
+
+# every order and step counted from the masks themselves, and the removals summed over all orders
+OP13 = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+least AS (SELECT t, min(doc_id) AS m FROM w GROUP BY t),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+      CASE WHEN len(l) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(l)) < 50 * len(l) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(w.t, '[^A-Z]', '', 'g')) > 3 * length(w.t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(w.t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > m THEN 16 ELSE 0 END AS mask
+      FROM w JOIN least ON w.t = least.t LEFT JOIN lab ON lab.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, mask),
+s(filter_order, step, own, before) AS (VALUES {_STEPS}),
+r AS (SELECT part, filter_order, step, own,
+        sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c JOIN s ON true GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+ORACLES = {"op6_warc": OP6, "op1_decontaminate": OP1, "op5_line_dedup": OP5, "op11_merkle_manifest": OP11, "op13_filter_audit": OP13}
