@@ -121,6 +121,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opinara.llm.lz_fingerprint import with_next
+
+    got = with_next(_table(spark, sf_dir, "documents"))
+    hexed = [F.lower(F.hex(c)).alias(name) for c, name in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
+    return got.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opinara.llm.filter_audit import audit
 
@@ -140,5 +148,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fingerprint": op12_fingerprint,
     "op13_filter_audit": op13_filter_audit,
 }
