@@ -273,9 +273,11 @@ def stream_features(spark, d):
     return dashboard.stream_features(t, ["click", "view"]).withColumns({c: F.round(c, 6) for c in ("click", "view")})
 
 
-@query("WITH p AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) SELECT label, vec_id, round(x - lag(x) OVER w, 6) AS u, round(y - lag(y) OVER w, 6) AS v FROM p WINDOW w AS (PARTITION BY label, vec_id // 100 ORDER BY vec_id)")
+@query(f"WITH {E}, p AS (SELECT label, vec_id, list_sum(list_filter(v, lambda x, i: i % 2 = 1)) AS x, list_sum(list_filter(v, lambda x, i: i % 2 = 0)) AS y FROM e) SELECT label, vec_id, round(x - lag(x) OVER w, 6) AS u, round(y - lag(y) OVER w, 6) AS v FROM p WINDOW w AS (PARTITION BY label, vec_id // 100 ORDER BY vec_id)")
 def flow_field(spark, d):
-    p = table(spark, d, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    """Two coordinates that all dimensions enter: the sums of every other one."""
+    total = lambda odd: F.aggregate(F.filter("v", lambda _, i: i % 2 == odd), F.lit(0.0), lambda s, x: s + x)
+    p = vectors(spark, d).select("label", "vec_id", total(0).alias("x"), total(1).alias("y"))
     p = p.withColumn("series", F.concat_ws("/", "label", F.floor(F.col("vec_id") / 100)))  # short series, as trends by day are
     return dashboard.flow_field(p, "series", "vec_id", ["label"]).select("label", "vec_id", r6(F.col("u"), "u"), r6(F.col("v"), "v"))
 
@@ -287,8 +289,10 @@ def total_variation(spark, d):
 
 @query()
 def pca_projection(spark, d):
-    v = vectors(spark, d).select("vec_id", *[F.get("v", F.lit(i)).alias(f"c{i}") for i in range(8)])
-    return dashboard.pca(v, [f"c{i}" for i in range(8)]).select("vec_id", "components")
+    """All dimensions."""
+    v = vectors(spark, d)
+    names = [f"c{i}" for i in range(len((v.select("v").first() or [[]])[0]))]
+    return dashboard.pca(v.select("vec_id", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(names)]), names).select("vec_id", "components")
 
 
 # --- text ----------------------------------------------------------------------------------------
@@ -296,30 +300,36 @@ def pca_projection(spark, d):
 _NORM = "trim(trim(trim(regexp_replace(regexp_replace(trim(lower({0}), concat(' ', chr(9), chr(10), chr(13))), 'stance target: ', ''), '1. ', ''), concat(' ', chr(9), chr(10), chr(13))), '\"'), '''')"
 
 
-@query("SELECT conv_id, turn, " + _NORM.format("concat('  Stance Target: 1. \"', split_part(text, ' ', 1), '\" ')") + " AS target FROM conversations")
+@query("WITH x AS (SELECT conv_id, turn, string_split(text, ' ') AS l FROM conversations), w AS (SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS w FROM x) SELECT conv_id, turn, pos, " + _NORM.format("concat('  Stance Target: 1. \"', w, '\" ')") + " AS target FROM w")
 def normalise_targets(spark, d):
-    c = F.concat(F.lit('  Stance Target: 1. "'), F.split_part("text", F.lit(" "), F.lit(1)), F.lit('" '))
-    return table(spark, d, "conversations").select("conv_id", "turn", text.normalise_target(c).alias("target"))
+    """Every word of every turn, as a model would list it."""
+    w = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    c = F.concat(F.lit('  Stance Target: 1. "'), F.col("w"), F.lit('" '))
+    return w.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), text.normalise_target(c).alias("target"))
 
 
 _W = text.WORD
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, split_part(text, '.', 1) AS c FROM conversations)
-SELECT conv_id, turn, c AS claim FROM x WHERE length(c) BETWEEN 21 AND 69 AND NOT contains(c, 'the user') AND NOT contains(c, 'url') AND NOT contains(c, 'the text') AND NOT contains(c, 'the speaker')
+@query(f"""WITH s AS (SELECT conv_id, turn, string_split(text, '.') AS l FROM conversations), x AS (SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS c FROM s)
+SELECT conv_id, turn, pos, c AS claim FROM x WHERE length(c) BETWEEN 21 AND 69 AND NOT contains(c, 'the user') AND NOT contains(c, 'url') AND NOT contains(c, 'the text') AND NOT contains(c, 'the speaker')
 AND NOT regexp_matches(c, '^the assistant') AND NOT regexp_matches(c, '^{_W}+ was mentioned.$') AND NOT regexp_matches(c, '^{_W}+( {_W}+)? is a ({"|".join(text.CLAIM_NOUNS)}).$') AND NOT length(c) > length(trim(c, '.')) + 1""")
 def clean_claims(spark, d):
-    x = table(spark, d, "conversations").select("conv_id", "turn", F.split_part("text", F.lit("."), F.lit(1)).alias("claim"))
-    return text.remove_bad_targets(x, "claims", "claim")
+    """Every sentence of every turn."""
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"\.")).alias("pos", "claim"))
+    return text.remove_bad_targets(x, "claims", "claim").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(rf"""WITH x AS (SELECT doc_id, trim(trim(trim(split_part(text, ' ', 1), '"'), ':'), concat(' ', chr(9), chr(10), chr(13))) AS c FROM documents)
-SELECT doc_id, c AS target FROM x WHERE c IS NOT NULL AND NOT regexp_matches(c, 'rt @{_W}+') AND NOT regexp_matches(c, 'rt {_W}+') AND NOT regexp_matches(c, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])url([^\p{{L}}\p{{M}}\p{{N}}_]|$)')
+@query(rf"""WITH s AS (SELECT doc_id, string_split(text, ' ') AS l FROM documents), h AS (SELECT doc_id, list_concat(l, list_transform(range(1, len(l)), lambda i: concat(l[i], ' ', l[i + 1]))) AS l FROM s),
+y AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS t FROM h), x AS (SELECT doc_id, pos, trim(trim(trim(t, '"'), ':'), concat(' ', chr(9), chr(10), chr(13))) AS c FROM y)
+SELECT doc_id, pos, c AS target FROM x WHERE c IS NOT NULL AND NOT regexp_matches(c, 'rt @{_W}+') AND NOT regexp_matches(c, 'rt {_W}+') AND NOT regexp_matches(c, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])url([^\p{{L}}\p{{M}}\p{{N}}_]|$)')
 AND NOT regexp_matches(c, '^[^\p{{L}}\p{{M}}\p{{N}}_\s]+$') AND lower(c) NOT IN ('', 'url', 'rt', 'rt @', '@rt', '@', 'yes', 'no', 'oui', 'non')""")
 def clean_noun_phrases(spark, d):
-    """The stop words here are yes and no; the default list is Spark's."""
-    x = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("target"))
-    return text.remove_bad_targets(x, "noun-phrases", "target", text.YES_NO)
+    """Every word and every pair of neighbouring words. The stop words here are yes and no; the default list is Spark's."""
+    w = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
+    x = w.select("doc_id", F.posexplode(F.concat("w", pairs)).alias("pos", "target"))
+    return text.remove_bad_targets(x, "noun-phrases", "target", text.YES_NO).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn) AS l FROM conversations)
@@ -340,10 +350,12 @@ def parse_responses(spark, d):
     return c.select("conv_id", "turn", F.array_join(text.parse_quoted_list(quoted), "|").alias("items"), text.parse_thinking(thought).alias("answer"), text.parse_category(F.replace(F.lower(t), F.lit("that"), F.lit("in favor")), "stance-classification").alias("category"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM w), c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(g) AS x FROM g) GROUP BY ALL)
-SELECT w.doc_id, coalesce(max(n), 0) AS repetition FROM w LEFT JOIN c USING (doc_id) GROUP BY 1""")
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents), m AS (SELECT doc_id, w, unnest([2, 3, 4, 5]) AS n FROM w), g AS (SELECT doc_id, n, list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')) AS g FROM m), c AS (SELECT doc_id, n, x, count(*) AS k FROM (SELECT doc_id, n, unnest(g) AS x FROM g) GROUP BY ALL)
+SELECT m.doc_id, CAST(m.n AS INT) AS n, coalesce(max(k), 0) AS repetition FROM m LEFT JOIN c ON m.doc_id = c.doc_id AND m.n = c.n GROUP BY ALL""")
 def ngram_repetition(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.max_ngram_repetition(F.col("text"), 2).cast("long").alias("repetition"))
+    """For n from 2 to 5."""
+    each = F.array(*[F.struct(F.lit(n).alias("n"), text.max_ngram_repetition(F.col("text"), n).cast("long").alias("repetition")) for n in range(2, 6)])
+    return table(spark, d, "documents").select("doc_id", F.inline(each))
 
 
 @query("SELECT conv_id, turn, 1 - dense_rank() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS reply_offset FROM conversations")
