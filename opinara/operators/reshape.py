@@ -62,6 +62,22 @@ def diagonal_union(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def running(df: DataFrame, order: list[str], size: str | None = None) -> DataFrame:
+    """``df`` with ``_before``: the sum of ``size`` (1 if none is given) over all rows that come earlier in ``order``, which must be total.
+
+    Rows are range-partitioned and sorted once; sums within partitions are windows by partition, and offsets, as many as there are partitions, come from the driver.
+    """
+    value = F.lit(1).cast("long") if size is None else F.col(size).cast("long")
+    placed = shared(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sums = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.sum(value).alias("n")).collect()}
+    if not sums:
+        return df.withColumn("_before", F.lit(None).cast("long"))
+    before = dict(zip(sorted(sums), accumulate([0, *(sums[p] for p in sorted(sums))]), strict=False))
+    offset = F.element_at(F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv]), F.col("_part"))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("_before", (offset + F.coalesce(own, F.lit(0))).cast("long")).drop("_part")
+
+
 def positional_split(df: DataFrame, order: str, fractions: dict[str, float]) -> DataFrame:
     """Label rows by their position in ``order``: consecutive parts of the given fractions, the last takes the rest.
 
