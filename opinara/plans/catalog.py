@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from opinara.functions import arrays, labels, text
 from opinara.operators import reshape, similarity
-from opinara.plans import dashboard, experiments, metrics, topics, trends
+from opinara.plans import dashboard, density, experiments, layout, metrics, topics, trends
 from opinara.plans.pipeline import StancePipeline
+from opinara.storage import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -533,6 +534,29 @@ def stance_pipeline(spark, d):
     return out.select("ID", F.array_join("Targets", ",").alias("targets"), F.array_join("Stances", ",").alias("stances"))
 
 
+_NEAR = "n AS (SELECT a.vec_id AS a, b.vec_id AS b, 2 - 2 * list_inner_product(a.n, b.n) AS d2 FROM u a JOIN u b ON 2 - 2 * list_inner_product(a.n, b.n) < 1.05 * 1.05)"
+
+
+@query(f"""WITH RECURSIVE {E}, {_NEAR}, k AS (SELECT a AS k FROM n GROUP BY a HAVING count(*) >= 4), l AS (SELECT a, b FROM n WHERE a IN (SELECT k FROM k) AND b IN (SELECT k FROM k)),
+r AS (SELECT k AS a, k AS b FROM k UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS cluster FROM r GROUP BY a),
+o AS (SELECT n.a, c.cluster, row_number() OVER (PARTITION BY n.a ORDER BY round(n.d2, 12), n.b) AS i FROM n JOIN c ON n.b = c.a WHERE n.a NOT IN (SELECT k FROM k))
+SELECT u.vec_id, coalesce(c.cluster, o.cluster) AS cluster, c.a IS NOT NULL AS core FROM u LEFT JOIN c ON c.a = u.vec_id LEFT JOIN o ON o.a = u.vec_id AND o.i = 1""")
+def dbscan_clusters(spark, d):
+    return similarity.dbscan(vectors(spark, d), "vec_id", "v", 1.05, 4)
+
+
+@query()
+def density_clusters(spark, d):
+    """Clusters of varying density over all vectors."""
+    return density.hdbscan(vectors(spark, d).select(F.col("vec_id").alias("id"), "v"), 5, 3, leaves=True)
+
+
+@query()
+def neighbour_projection(spark, d):
+    """A plane that keeps neighbours, of all vectors and dimensions."""
+    return layout.project(vectors(spark, d).select(F.col("vec_id").alias("id"), "v"))
+
+
 # --- topics and experiments ----------------------------------------------------------------------
 
 
@@ -565,13 +589,11 @@ def scaled_sizes(spark, d):
 
 @query()
 def topic_clusters(spark, d):
-    """Clusters of the targets that at least one in fifty documents has, with keyphrases and exemplars."""
-    docs = doc_targets(spark, d)
-    counts = docs.select(F.explode("Targets").alias("Target")).groupBy("Target").agg(F.count(F.lit(1)).alias("Count"))
-    counts = counts.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("_n")))).where("50 * Count >= _n").drop("_n")
-    t = StancePipeline().vectors(counts).join(counts, "Target")
-    c = topics.cluster_targets(t, 0.75)
-    return topics.exemplars(c).join(topics.keyphrases(c), "Cluster")
+    """Density clusters of all targets, with keyphrases, exemplars and sizes."""
+    counts = shared(doc_targets(spark, d).select(F.explode("Targets").alias("Target")).groupBy("Target").agg(F.count(F.lit(1)).alias("Count")))
+    c = shared(topics.topic_model(StancePipeline().vectors(counts).join(counts, "Target")))
+    sizes = c.where("Cluster >= 0").groupBy("Cluster").agg(F.count(F.lit(1)).alias("n_targets"))
+    return sizes.join(topics.exemplars(c), "Cluster").join(topics.keyphrases(c), "Cluster")
 
 
 @query()

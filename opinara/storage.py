@@ -20,3 +20,9 @@ def shared(df: DataFrame) -> DataFrame:
     path = f"{at.rstrip('/')}/opinara-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tasks(df: DataFrame) -> int:
+    """How many partitions to deal rows to whose work, not size, is large: adaptive execution would put a few MB into one."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
