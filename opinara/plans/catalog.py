@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import arrays, labels, text
 from opinara.operators import reshape, similarity
-from opinara.plans import dashboard, density, experiments, layout, metrics, topics, trends
+from opinara.plans import dashboard, density, experiments, layout, metrics, prompts, topic_text, topics, trends
 from opinara.plans.pipeline import StancePipeline
 from opinara.storage import shared
 
@@ -242,7 +242,7 @@ def _fit(method: str, **kw):
     return run
 
 
-for _m in ("bkrr", "lowess", "exact_gp", "gp"):
+for _m in ("bkrr", "lowess", "exact_gp", "gp", "spline"):
     QUERIES[f"trend_{_m}"] = _fit(_m)
 QUERIES["trend_bootstrap"] = _fit("kernelreg", bandwidth=H)
 
@@ -748,3 +748,76 @@ def closest_targets(spark, d):
     """The nearest of the stated query vectors (ids divisible by 50)."""
     v = vectors(spark, d).select(F.col("vec_id").alias("target"), "v")
     return topics.closest(v, v.where("target % 50 = 0"), floor=0.35)
+
+
+# --- prompts, topic texts and further tables -----------------------------------------------------
+
+
+@query("""WITH r AS (SELECT source, doc_id, length(coalesce(text, '')) AS n, sha256(coalesce(text, '')) AS h FROM documents), c AS (SELECT source, doc_id, n, h, coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT source, CAST(before // 8192 AS BIGINT) AS pack, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_chars, sha256(string_agg(h, ',' ORDER BY doc_id)) AS texts_sha256 FROM c GROUP BY ALL""")
+def pack_prompts(spark, d):
+    """Whole documents of a source, packed into prompts of about 8192 characters."""
+    got = prompts.packed(table(spark, d, "documents"), "source", "doc_id", "text")
+    return got.select("source", "pack", "n_docs", "n_chars", F.sha2(F.array_join(F.transform("texts", lambda t: F.sha2(t, 256)), ","), 256).alias("texts_sha256"))
+
+
+@query("""WITH c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS whole, string_agg(text, chr(10) ORDER BY turn) FILTER (turn > 0) AS rest, min(text) FILTER (turn = 0) AS head, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, n AS n_messages, CASE WHEN n = 1 THEN 'user' ELSE 'system' END AS first_role, CASE WHEN n = 1 THEN whole ELSE concat(head, chr(10), chr(10), rest) END AS folded FROM c""")
+def fold_conversations(spark, d):
+    """Turns as messages, the first as the system's, which is folded into the first user message; contents joined by line ends."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l")).select("conv_id", prompts.conversation(F.col("l.text")).alias("m"))
+    return c.select("conv_id", F.size("m").cast("long").alias("n_messages"), F.get("m", F.lit(0))["role"].alias("first_role"), F.array_join(F.transform(prompts.fold_system(F.col("m")), lambda x: x["content"]), "\n").alias("folded"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(regexp_replace(lower(text), '\S*@\S*\s?', '', 'g'), '''', ''), '[^\p{L}\p{M}]+'), lambda w: length(w) BETWEEN 2 AND 15) AS l FROM documents),
+e AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS a FROM t), f AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM e),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a), p AS (SELECT f.a, f.b, count(*) AS k FROM f WHERE b IS NOT NULL GROUP BY f.a, f.b HAVING count(*) >= 5),
+q AS (SELECT p.a, p.b FROM p JOIN n x ON x.a = p.a JOIN n y ON y.a = p.b WHERE (k - 5) * (SELECT count(*) FROM n) > 10 * x.n * y.n),
+m AS (SELECT f.*, q.a IS NOT NULL AS hit FROM f LEFT JOIN q ON f.a = q.a AND f.b = q.b), g AS (SELECT *, CASE WHEN hit THEN pos - row_number() OVER (PARTITION BY doc_id, hit ORDER BY pos) END AS run FROM m),
+h AS (SELECT *, hit AND row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) % 2 = 1 AS joins FROM g), k AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM h)
+SELECT doc_id, count(*) AS n_tokens, CAST(sum(CAST(joins AS INT)) AS BIGINT) AS n_pairs, sha256(string_agg(CASE WHEN joins THEN concat(a, '_', b) ELSE a END, ' ' ORDER BY pos)) AS tokens_sha256 FROM k WHERE NOT gone GROUP BY doc_id""")
+def topic_tokens(spark, d):
+    """Tokens of whole documents with the corpus's frequent pairs joined."""
+    docs = shared(table(spark, d, "documents").select("doc_id", topic_text.plain_tokens(F.col("text")).alias("w")))
+    t = topic_text.PairModel.fit(docs, "w").transform(docs, "doc_id", "w")
+    g = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("token").contains("_")).alias("n_pairs"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("l"))
+    return g.select("doc_id", "n_tokens", "n_pairs", F.sha2(F.array_join(F.transform("l", lambda s: s["token"]), " "), 256).alias("tokens_sha256"))
+
+
+@query(f"""WITH {E}, p AS (SELECT vec_id // 20 AS doc, vec_id AS target, vec_id % 3 AS stance FROM u), g AS (SELECT DISTINCT vec_id // 20 AS doc, vec_id % 500 // 50 * 50 AS target, vec_id % 2 AS stance FROM u),
+mm AS (SELECT a.vec_id AS target, b.vec_id AS match, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.n, b.n) DESC, b.vec_id DESC) AS i FROM u a JOIN u b ON b.vec_id % 50 = 0 AND list_inner_product(a.n, b.n) >= 0.15),
+x AS (SELECT p.doc, mm.match AS target, p.stance, p.target AS r FROM p JOIN mm ON p.target = mm.target AND i = 1), y AS (SELECT *, row_number() OVER () AS r FROM g),
+xc AS (SELECT x.doc, coalesce(avg(CASE WHEN y.stance = x.stance THEN 1.0 WHEN y.doc IS NOT NULL THEN 0.0 END), 0) AS s FROM x LEFT JOIN y ON x.doc = y.doc AND x.target = y.target GROUP BY x.doc, x.r),
+yc AS (SELECT y.doc, coalesce(avg(CASE WHEN y.stance = x.stance THEN 1.0 WHEN x.doc IS NOT NULL THEN 0.0 END), 0) AS s FROM y LEFT JOIN x ON x.doc = y.doc AND x.target = y.target GROUP BY y.doc, y.r),
+f AS (SELECT coalesce(a.s, 0) AS p, coalesce(b.s, 0) AS r FROM (SELECT doc, avg(s) AS s FROM xc GROUP BY doc) a FULL JOIN (SELECT doc, avg(s) AS s FROM yc GROUP BY doc) b ON a.doc = b.doc)
+SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM f""")
+def f1_stances(spark, d):
+    """Vectors as predicted targets, those of ids divisible by 50 as gold ones; documents of twenty."""
+    v = vectors(spark, d)
+    doc = F.floor(F.col("vec_id") / 20).alias("doc")
+    pred = v.select(doc, F.col("vec_id").alias("target"), (F.col("vec_id") % 3).alias("stance"))
+    gold = v.select(doc, (F.floor(F.col("vec_id") % 500 / 50) * 50).alias("target"), (F.col("vec_id") % 2).alias("stance"))
+    named = v.select(F.col("vec_id").alias("target"), "v")
+    return topics.f1_stances(pred, gold, named, named.where("target % 50 = 0"), 0.15).select(*[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH {S}, d AS (SELECT DISTINCT author, CAST(createtime AS DATE) AS day, target FROM s), v AS (SELECT target, coalesce(var_samp(y), 0) AS var FROM s GROUP BY target),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY author, day ORDER BY var DESC, d.target DESC) AS i FROM d JOIN v ON d.target = v.target) SELECT author, day, target FROM r WHERE i = 1""")
+def widest_target(spark, d):
+    docs = doc_stance(spark, d).select(F.struct("author", "day").alias("ID"), F.array_distinct("Targets").alias("Targets"))
+    return topics.widest_target(docs, stance_long(spark, d)).select("ID.author", "ID.day", F.col("Target").alias("target"))
+
+
+@query(f"""WITH {S}, st AS ({_STATS}), t AS (SELECT DISTINCT target FROM s WHERE y <> 0) SELECT t.target, n, mean, n_favor FROM st RIGHT JOIN t ON st.target = t.target""")
+def statistics_of_trends(spark, d):
+    """Statistics of the targets that have a trend; a trend without statistics keeps its row."""
+    s = stance_long(spark, d)
+    return dashboard.target_statistics(s).join(s.where("y <> 0").select("target").distinct(), "target", "right").select("target", "n", r6(F.col("mean"), "mean"), "n_favor")
+
+
+@query(f"""WITH {S}, x AS (SELECT id, CASE WHEN id % 11 = 0 THEN CAST('nan' AS DOUBLE) ELSE y END AS y, epoch_us(createtime) AS t, createtime FROM s), o AS (SELECT min(t) AS a, max(t) AS b FROM x WHERE NOT isnan(y))
+SELECT id, strftime(createtime, '%Y-%m-%dT%H:%M:%S') AS iso, round((t - a) / CAST(b - a AS DOUBLE), 6) AS position, concat('Leaning ', CASE WHEN y > 0 THEN 'Supporting' WHEN y < 0 THEN 'Refuting' ELSE 'Nowhere' END) AS label FROM x, o WHERE NOT isnan(y)""")
+def timeline_positions(spark, d):
+    """Rows with a number, their time as ISO text and as a share of the whole span, and a composed label."""
+    s = stance_long(spark, d).withColumn("y", F.when(F.col("id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("y")))
+    return dashboard.timeline(s, "createtime", "y").select("id", "iso", r6(F.col("position"), "position"), F.concat(F.lit("Leaning "), F.when(F.col("y") > 0, "Supporting").when(F.col("y") < 0, "Refuting").otherwise("Nowhere")).alias("label"))

@@ -141,7 +141,9 @@ def projection(points: DataFrame, top: int = 10_000) -> DataFrame:
 
 
 def significant_flows(flow: DataFrame, first: int = 200, least: float = 0.05) -> DataFrame:
-    return flow.limit(first).where(F.sqrt(F.col("u") ** 2 + F.col("v") ** 2) > least)
+    """The ``first`` longest flows that are longer than ``least``, longest first; ties by all columns."""
+    length = F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)
+    return flow.where(length > least).orderBy(F.desc(length), *flow.columns).limit(first)
 
 
 def top_loadings(loadings: dict[str, list[float]], component: int, top: int = 3) -> list[tuple[str, float]]:
@@ -169,3 +171,17 @@ def scaled_sizes(stats: DataFrame, low: float, high: float) -> DataFrame:
     r = stats.agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
     span = F.when(F.col("_hi") > F.col("_lo"), (F.col("n") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     return stats.join(F.broadcast(r)).withColumn("size", low + (high - low) * span).drop("_lo", "_hi")
+
+def without_nan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows that have no NaN in ``columns`` (all of floating point); nulls stay."""
+    for c in columns or [c for c, t in df.dtypes if t in ("double", "float")]:
+        df = df.where(~F.coalesce(F.isnan(c), F.lit(False)))
+    return df
+
+
+def timeline(rows: DataFrame, time: str, value: str) -> DataFrame:
+    """Rows without NaN values, with the time as ISO text and its position between the first, 0, and the last, 1 (0 where all are at once)."""
+    kept = without_nan(rows, [value]).withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
+    span = kept.agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"))
+    at = F.when(F.col("_b") > F.col("_a"), (F.col("_t") - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(0.0)
+    return kept.join(F.broadcast(span)).withColumns({"iso": F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), "position": at}).drop("_t", "_a", "_b")

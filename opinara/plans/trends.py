@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opinara.functions.labels import stance_score
 from opinara.operators.reshape import daily_spine, explode_pairs, grouping_explode
 from opinara.plans import fitters
-from opinara.storage import shared
+from opinara.storage import shared, tasks
 
 GROUP = ("target", "filter_type", "filter_value")
 #: Hours of a unit of a time scale; months are 30 days, years 365. Fixed values.
@@ -66,10 +66,9 @@ def trend_kernelreg(groups: DataFrame, bandwidth: float, time_scale: str = "1d")
     Observations of one hour are summed first and written: the kernel depends on the hour alone. Hours and days of a
     group meet where they are at most :data:`REACH` bandwidths apart, by a join on stretches of that length; so the work grows with the span.
     """
-    spans = shared(spans_of(groups))
     hours = scale_hours(time_scale)
-    x = time_units(F.col("createtime"), F.col("d0"), time_scale)
-    bins = shared(groups.join(spans, list(GROUP)).groupBy(*GROUP, "d0", x.alias("x")).agg(F.count(F.lit(1)).alias("w"), F.sum("y").alias("sy")))
+    bins = shared(hourly(groups, time_scale).select(*GROUP, "d0", "d1", "x", "w", "sy"))
+    spans = bins.groupBy(*GROUP).agg(F.first("d0").alias("d0"), F.first("d1").alias("d1"))
     h = float(bandwidth)
     reach = REACH * h
     days = daily_spine(spans).withColumn("t", F.datediff("day", "d0") * F.lit(24.0) / hours).withColumn("part", F.floor(F.col("t") / reach))
@@ -98,21 +97,34 @@ def trend_rolling(groups: DataFrame, days: int = 7) -> DataFrame:
     return daily.select(*GROUP, "day", F.when(n >= days, F.avg("m").over(w)).alias("trend_mean"))
 
 
-def trend_fit(groups: DataFrame, method: str, time_scale: str = "1d", max_points: int = 1000, **kw) -> DataFrame:
+def hourly(groups: DataFrame, time_scale: str) -> DataFrame:
+    """(group, d0, d1, x, w, sy, n_neg, n_pos): sums by hour, made before anything is joined; x is the hour in units of the scale since the group's first midnight."""
+    hour = F.date_trunc("hour", F.col("createtime")).cast("timestamp_ntz")
+    sums = groups.groupBy(*GROUP, hour.alias("createtime")).agg(
+        F.count(F.lit(1)).alias("w"), F.sum("y").alias("sy"), F.count_if(F.col("y") < 0).alias("n_neg"), F.count_if(F.col("y") > 0).alias("n_pos")
+    )
+    bins = shared(sums)
+    x = time_units(F.col("createtime"), F.col("d0"), time_scale)
+    return bins.join(spans_of(bins), list(GROUP)).select(*GROUP, "d0", "d1", x.alias("x"), "w", "sy", "n_neg", "n_pos")
+
+
+def trend_fit(groups: DataFrame, method: str, time_scale: str = "1d", **kw) -> DataFrame:
     """Trends by a fitter of :mod:`opinara.plans.fitters`, one group for each call.
 
-    Observations are binned by hour first (count, sum), so a group's size is bounded by the calendar and
-    not by its rows; all bins are fitted, but for ``gp``, where those of a group of more than ``max_points`` are merged. A fit that
+    Observations are summed by hour first, so a group's size is bounded by the calendar and
+    not by its rows; all bins are fitted, at a cost that grows with their number (for kernels, inducing points bound the solves). A fit that
     fails gives one row with its error instead of failing the job.
     """
-    spans = spans_of(groups)
-    x = time_units(F.col("createtime"), F.col("d0"), time_scale)
-    bins = groups.join(spans, list(GROUP)).groupBy(*GROUP, "d0", "d1", x.alias("x")).agg(
-        F.count(F.lit(1)).alias("w"), F.sum("y").alias("sy"), F.count_if(F.col("y") < 0).alias("n_neg"), F.count_if(F.col("y") > 0).alias("n_pos")
-    )
-    run = fitters.runner(method, scale_hours(time_scale), max_points, kw)
+    run = fitters.runner(method, scale_hours(time_scale), kw)
     schema = "target string, filter_type string, filter_value string, day date, trend_mean double, trend_lower double, trend_upper double, params string, error string"
-    return bins.groupBy(*GROUP).applyInPandas(run, schema)
+    bins = hourly(groups, time_scale)
+    return bins.repartition(tasks(bins), *GROUP).groupBy(*GROUP).applyInPandas(run, schema)
+
+
+def fit_params(trend: DataFrame) -> DataFrame:
+    """(group, method parameters as a map): one row for each fitted group of :func:`trend_fit`."""
+    one = trend.where("params IS NOT NULL").groupBy(*GROUP).agg(F.first("params").alias("p"))
+    return one.select(*GROUP, F.from_json("p", "map<string,double>").alias("params"))
 
 
 def stance_normal(groups: DataFrame) -> DataFrame:

@@ -102,6 +102,28 @@ def reply_trees(edges: DataFrame) -> DataFrame:
     return out
 
 
+def context_claims(spark: SparkSession, path: str, split: str, n_ways: int, context: str, order: str) -> DataFrame:
+    """Claims with their entailment from a Parquet table, split by position in ``order``, under one context for all."""
+    names = {"discussing": ("leaning refuting", "leaning supporting", "neutral")}
+    if n_ways == 4:
+        names["discussing"] += ("querying",)
+    if n_ways == 2:
+        names = {"supporting": ("leaning supporting",), "other": ("leaning refuting", "neutral", "querying", "discussing", "irrelevant", "refuting")}
+    if n_ways not in (2, 4, 5):
+        raise ValueError(f"no scheme of {n_ways} labels")
+    part = positional_split(spark.read.parquet(path), order, {"train": 0.8, "val": 0.1, "test": 0.1}).where(F.col("part") == split)
+    stance = replace(F.col("stance"), {x: to for to, of in names.items() for x in of})
+    return part.select("Text", F.col("MainClaims").alias("Target"), F.lower(stance).alias("Stance"), F.lit(context).alias("Context"))
+
+
+def load(parts: dict[str, DataFrame], group: bool = True, map_labels: bool | dict[str, bool] = True) -> DataFrame:
+    """Canonical rows of several datasets, by name; columns that some lack are null there."""
+    if not parts:
+        raise ValueError("name at least one dataset")
+    maps = map_labels if isinstance(map_labels, dict) else dict.fromkeys(parts, map_labels)
+    return diagonal_union(*[finalise(df, name, group, maps.get(name, True)) for name, df in parts.items()])
+
+
 def collapse(label: Column, ways: int) -> Column:
     """The seven claim labels as 2, 3, 4, 5 or 7."""
     maps = {
