@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import arrays, labels, text
 from opinara.operators import reshape, similarity
-from opinara.plans import dashboard, density, experiments, layout, metrics, prompts, topic_text, topics, trends
+from opinara.plans import dashboard, density, experiments, layout, metrics, prompts, topic_selection, topic_text, topics, trends
 from opinara.plans.pipeline import StancePipeline
 from opinara.storage import shared
 
@@ -821,3 +821,12 @@ def timeline_positions(spark, d):
     """Rows with a number, their time as ISO text and as a share of the whole span, and a composed label."""
     s = stance_long(spark, d).withColumn("y", F.when(F.col("id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("y")))
     return dashboard.timeline(s, "createtime", "y").select("id", "iso", r6(F.col("position"), "position"), F.concat(F.lit("Leaning "), F.when(F.col("y") > 0, "Supporting").when(F.col("y") < 0, "Refuting").otherwise("Nowhere")).alias("label"))
+
+
+@query()
+def lda_topics(spark, d):
+    """Topics of the most coherent of three models, with how many documents have each."""
+    docs = shared(table(spark, d, "documents").select("doc_id", topic_text.plain_tokens(F.col("text")).alias("w")))
+    c = topic_selection.choose_topics(docs, "doc_id", "w", [4, 8, 12], vocabulary=5000)
+    n = c.documents.select(F.explode("topics").alias("t")).groupBy("t.topic").agg(F.count(F.lit(1)).alias("n_docs"))
+    return c.topics.join(n, "topic", "left").select("topic", F.array_join("words", " ").alias("words"), r6(F.col("share"), "share"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    """Delete what :func:`shared` wrote, when the driver ends."""
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended: its shared folder is the cluster's to empty
+            return
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir and read it again: lineage is cut and a lost executor costs nothing."""
+    """Write ``df`` to the folder in spark.checkpoint.dir and read it again: lineage is cut and a lost executor costs nothing. It is deleted when the driver ends."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
@@ -18,6 +32,9 @@ def shared(df: DataFrame) -> DataFrame:
         at = "file://" + tempfile.mkdtemp(prefix="opinara-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/opinara-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
