@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinara.functions.text import parse_quoted_list, parse_thinking, strip
 from opinara.operators.reshape import running
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -66,3 +67,19 @@ def multi_document_targets(docs: DataFrame, group: str, order: str, text: str, g
     """(group, Targets): targets that packs of a group's documents share. ``generate``: a model from a conversation column to an array of samples."""
     asked = packed(docs, group, order, text, limit).select(group, "pack", shared_targets(generate(shared_target_prompt(F.col("texts")))).alias("t"))
     return asked.select(group, F.explode("t").alias("t")).groupBy(group).agg(F.array_sort(F.collect_set("t")).alias("Targets"))
+
+
+def claims(generated: Column) -> Column:
+    """Claims from a model's samples: what is quoted after its thinking, in lower case, without white space around, each once."""
+    each = F.flatten(F.transform(generated, lambda s: parse_quoted_list(parse_thinking(s))))
+    return F.array_distinct(F.filter(F.transform(each, lambda c: F.lower(strip(c))), lambda c: c != ""))
+
+
+def claim_extractor(generate):
+    """A target extractor (column to column) from a model that answers a conversation with samples."""
+
+    def extract(text: Column) -> Column:
+        ask = F.concat(F.lit("List the claims that the text makes, each in double quotes, as a bracketed list.\n\nText: "), text)
+        return claims(generate(conversation(F.array(F.lit("You extract claims from texts."), ask))))
+
+    return extract

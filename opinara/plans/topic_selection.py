@@ -59,6 +59,12 @@ class TopicChoice:
     threshold: float
 
 
+def main_topic(documents: DataFrame, key: str) -> DataFrame:
+    """(key, topic): a document's most probable topic among those that it has, the first of equal ones; null without any."""
+    best = F.element_at(F.array_sort(F.transform("topics", lambda t: F.struct((-t["p"]).alias("p"), t["topic"].alias("topic")))), 1)
+    return documents.select(key, F.when(F.size("topics") > 0, best["topic"]).alias("topic"))
+
+
 def choose_topics(
     docs: DataFrame, key: str, tokens: str, sizes: list[int], top: int = 10, window: int = 110, vocabulary: int = 20_000, threshold: float = 0.15, step: float = 0.05, most: float = 0.8, coverage: float = 0.9, iterations: int = 10, seed: int = 1
 ) -> TopicChoice:
