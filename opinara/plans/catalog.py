@@ -830,3 +830,20 @@ def lda_topics(spark, d):
     c = topic_selection.choose_topics(docs, "doc_id", "w", [4, 8, 12], vocabulary=5000)
     n = c.documents.select(F.explode("topics").alias("t")).groupBy("t.topic").agg(F.count(F.lit(1)).alias("n_docs"))
     return c.topics.join(n, "topic", "left").select("topic", F.array_join("words", " ").alias("words"), r6(F.col("share"), "share"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+@query(f"""WITH {S}, d AS (SELECT author, CAST(createtime AS DATE) AS day, avg(y) FILTER (target = 'click') AS v FROM s GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY day) AS i FROM d),
+n AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY author ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY author ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM i)
+SELECT n.author, n.day, round(CASE WHEN n.a IS NULL THEN y.v WHEN n.b IS NULL OR n.a = n.b THEN x.v ELSE x.v + (y.v - x.v) * (n.i - n.a) / (n.b - n.a) END, 6) AS v FROM n LEFT JOIN i x ON x.author = n.author AND x.i = n.a LEFT JOIN i y ON y.author = n.author AND y.i = n.b""")
+def interpolated_days(spark, d):
+    """Each author's daily stance on one target, with the days between filled."""
+    daily = stance_long(spark, d).groupBy("author", F.to_date("createtime").alias("day")).agg(F.avg(F.when(F.col("target") == "click", F.col("y"))).alias("v"))
+    return trends.interpolated(daily, ["author"], "day", "v").withColumn("v", F.round("v", 6))
+
+
+@query(f"""WITH {S}, l AS (SELECT unnest(['AGAINST', 'NEUTRAL', 'FAVOR', 'NEVER']) AS l), c AS (SELECT stance AS reference, CASE WHEN id % 4 = 0 THEN 'NEUTRAL' WHEN id % 9 = 0 THEN 'FAVOR' ELSE stance END AS prediction FROM s), n AS (SELECT reference, prediction, count(*) AS n FROM c GROUP BY ALL),
+g AS (SELECT a.l AS reference, b.l AS prediction, coalesce(n, 0) AS n FROM l a JOIN l b ON true LEFT JOIN n ON n.reference = a.l AND n.prediction = b.l)
+SELECT reference, prediction, n, round(CASE WHEN sum(n) OVER (PARTITION BY reference) > 0 THEN n / CAST(sum(n) OVER (PARTITION BY reference) AS DOUBLE) ELSE 0.25 END, 6) AS p_prediction, round(CASE WHEN sum(n) OVER (PARTITION BY prediction) > 0 THEN n / CAST(sum(n) OVER (PARTITION BY prediction) AS DOUBLE) ELSE 0.25 END, 6) AS p_reference FROM g""")
+def confusion_profile(spark, d):
+    c = stance_long(spark, d).select(F.col("stance").alias("reference"), F.when(F.col("id") % 4 == 0, "NEUTRAL").when(F.col("id") % 9 == 0, "FAVOR").otherwise(F.col("stance")).alias("prediction"))
+    return metrics.confusion_profile(c, ["AGAINST", "NEUTRAL", "FAVOR", "NEVER"]).select("reference", "prediction", "n", r6(F.col("p_prediction"), "p_prediction"), r6(F.col("p_reference"), "p_reference"))

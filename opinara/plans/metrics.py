@@ -194,3 +194,20 @@ def bleu_targets(docs: DataFrame, predicted: str, gold: str) -> DataFrame:
 
     s = docs.select(score(predicted, gold).alias("s"))
     return s.agg(F.avg("s.p").alias("precision"), F.avg("s.r").alias("recall"), F.avg("s.f").alias("f1"))
+
+
+def confusion_profile(df: DataFrame, labels: list[str], reference: str = "reference", prediction: str = "prediction") -> DataFrame:
+    """(reference, prediction, n, p_prediction, p_reference) for every two of ``labels``: the shares of a true label's predictions and of a prediction's true labels.
+
+    A label that never occurs on a side has equal shares there. Other labels and nulls do not count.
+    """
+    n = confusion(df.where(F.col(reference).isin(labels) & F.col(prediction).isin(labels)), reference, prediction)
+    every = lambda: F.explode(F.array(*map(F.lit, labels)))
+    grid = df.sparkSession.range(1).select(every().alias(reference)).select(reference, every().alias(prediction))
+    cells = grid.join(n, [reference, prediction], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+    def share(by: str):
+        total = F.sum("n").over(Window.partitionBy(by))
+        return F.when(total > 0, F.col("n") / total).otherwise(1.0 / len(labels))
+
+    return cells.select(reference, prediction, "n", share(reference).alias("p_prediction"), share(prediction).alias("p_reference"))

@@ -145,3 +145,17 @@ def infer_stance_trends(
     long = document_to_targets(document_df, min_count, time_column, target_type).select(F.col("Target").alias("target"), "createtime", F.col("stance_score").alias("y"), *filter_columns)
     groups = grouped(long, {c: c for c in filter_columns}, min_count)
     return trend_fit(groups, method, time_scale, **kw)
+
+
+def interpolated(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``rows`` with gaps in ``value`` (null or NaN) filled on a line between the rows before and after, by place in ``order``; at the ends the nearest value holds. All gaps stay null."""
+    w = Window.partitionBy(*by).orderBy(order)
+    clean = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    at = rows.withColumn("_i", F.row_number().over(w)).withColumn("_k", F.when(clean.isNotNull(), F.struct(F.col("_i").alias("i"), clean.alias("v"))))
+    before = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = at.withColumns({"_a": before, "_b": after})
+    a, b = F.col("_a"), F.col("_b")
+    line = a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["i"]) / (b["i"] - a["i"])
+    filled = F.when(a.isNull(), b["v"]).when(b.isNull() | (a["i"] == b["i"]), a["v"]).otherwise(line)
+    return near.withColumn(value, filled).drop("_i", "_k", "_a", "_b")
