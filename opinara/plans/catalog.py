@@ -847,3 +847,19 @@ SELECT reference, prediction, n, round(CASE WHEN sum(n) OVER (PARTITION BY refer
 def confusion_profile(spark, d):
     c = stance_long(spark, d).select(F.col("stance").alias("reference"), F.when(F.col("id") % 4 == 0, "NEUTRAL").when(F.col("id") % 9 == 0, "FAVOR").otherwise(F.col("stance")).alias("prediction"))
     return metrics.confusion_profile(c, ["AGAINST", "NEUTRAL", "FAVOR", "NEVER"]).select("reference", "prediction", "n", r6(F.col("p_prediction"), "p_prediction"), r6(F.col("p_reference"), "p_reference"))
+
+
+@query(r"""WITH w AS (SELECT row_number() OVER () AS k, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS a FROM conversations), x AS (SELECT k, a, list_filter(a, lambda x, i: i % 5 <> 0) AS b FROM w WHERE len(a) >= 6),
+s AS (SELECT k, 'p' AS side, a AS c, b AS r FROM x UNION ALL SELECT k, 'r', b, a FROM x), n AS (SELECT k, side, c, r, unnest([1, 2, 3, 4]) AS n FROM s),
+gc AS (SELECT k, side, n, g, count(*) AS m FROM (SELECT k, side, n, unnest(list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i:i + n - 1], ' '))) AS g FROM n) GROUP BY ALL),
+gr AS (SELECT k, side, n, g, count(*) AS m FROM (SELECT k, side, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g FROM n) GROUP BY ALL),
+h AS (SELECT gc.k, gc.side, gc.n, sum(least(gc.m, coalesce(gr.m, 0))) AS hit, sum(gc.m) AS total FROM gc LEFT JOIN gr ON gc.k = gr.k AND gc.side = gr.side AND gc.n = gr.n AND gc.g = gr.g GROUP BY ALL),
+b AS (SELECT h.k, h.side, CASE WHEN min(hit) = 0 THEN 0 ELSE exp(avg(ln(CASE WHEN hit = 0 THEN 1 ELSE hit / CAST(total AS DOUBLE) END))) * least(1, exp(1 - min(len(s.r)) / CAST(min(len(s.c)) AS DOUBLE))) END AS v FROM h JOIN s ON s.k = h.k AND s.side = h.side GROUP BY h.k, h.side),
+d AS (SELECT k, max(v) FILTER (side = 'p') AS p, max(v) FILTER (side = 'r') AS r FROM b GROUP BY k)
+SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM d""")
+def bleu_sentences(spark, d):
+    """Whole turns against themselves without every fifth word: n-grams of one to four words."""
+    w = table(spark, d, "conversations").select(F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("a")).where(F.size("a") >= 6)
+    t = w.select(F.array(F.array_join("a", " ")).alias("pred"), F.array(F.array_join(F.filter("a", lambda x, i: (i + 1) % 5 != 0), " ")).alias("gold"))
+    got = metrics.bleu_targets(t, "pred", "gold")
+    return got.select(*[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
