@@ -257,7 +257,7 @@ def dedup_lines(
     packed = with_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
     batch = F.pmod(F.col(KEY[1]), F.lit(n_batches)).cast("int")
     hashes = written(line_hashes(packed, "_text", min_chars).withColumn("_batch", batch), "lines", partition_by="_batch")
-    names = {k: f"{batch_id}/{n_batches}/{k}" for k in range(n_batches)} if batch_id else batch_names(hashes)
+    names = {k: f"{batch_id}/{n_batches}/{k}" for k in range(n_batches)} if batch_id else {k: f"none-{k}" for k in range(n_batches)} | batch_names(hashes)
     for k in sorted(names):
         runs.add(names[k], document_counts(hashes.where(F.col("_batch") == k)))
     frequent = runs.frequent()
