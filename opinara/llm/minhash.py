@@ -30,11 +30,8 @@ FEW = 200_000
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted."""
-    from opinara.llm.simhash import words
-
-    w = words(text)
+def shingles(w: list[str]) -> np.ndarray:
+    """The distinct hashes of the shingles of a text's words, sorted."""
     if not w:
         return np.empty(0, np.uint64)
     grams = (" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1)))
@@ -49,22 +46,19 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
-def sketch(text: str) -> Column:
-    """``node``, a digest of the set of shingles, its size ``n`` and its ``bands``."""
-
-    @F.pandas_udf("node long, n int, bands array<long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t) for t in texts]
-        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "n": [len(s) for s in sets], "bands": [bands(s) if len(s) else np.empty(0, np.int64) for s in sets]})
-
-    return run(text)
+def set_sketch(w: list[str]) -> tuple[int, int, np.ndarray]:
+    """Of a text's words: ``node``, a digest of the set of shingles, its size ``n`` and its ``bands``. The set itself is not kept."""
+    s = shingles(w)
+    node = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64))
+    return node, len(s), bands(s) if len(s) else np.empty(0, np.int64)
 
 
 def grams(text: str) -> Column:
+    from opinara.llm.simhash import words
+
     @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
+        return pd.Series([shingles(words(t)).view(np.int64) for t in texts], dtype=object)
 
     return run(text)
 
@@ -72,11 +66,11 @@ def grams(text: str) -> Column:
 def similar_links(docs: DataFrame, sketches: DataFrame, percent: int = 80) -> DataFrame:
     """(a, b): fingerprints of texts that are linked, directly or through others.
 
-    docs: doc_id, text. sketches: for each row the row key, ``fp`` and ``sketch``.
+    docs: doc_id, text. sketches: for each row the row key, ``fp``, ``node``, ``n`` and ``bands``.
     """
     from opinara.llm.simhash import components
 
-    rows = sketches.where("sketch.n > 0").select("fp", "sketch.*", *KEY)
+    rows = sketches.where("n > 0").select("fp", "node", "n", "bands", *KEY)
     sets = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(F.struct("bands")).alias("b"), F.min(F.struct(*KEY)).alias("k")), "sets")
     least = sets.select("node", F.col("fp").alias("b"))
     same = rows.select("node", F.col("fp").alias("a")).distinct()

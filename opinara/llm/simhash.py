@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.common import KEY, drop_table, id_and_text, table_path, with_key, written
-from opinara.llm.minhash import similar_links, sketch
+from opinara.llm.minhash import set_sketch, similar_links
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 #: Python's own split would also cut at other white space.
@@ -52,17 +52,21 @@ def words(text: str | None) -> list[str]:
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of one text, as a signed 64-bit number. Hashes are counted in chunks: memory stays bounded."""
-    of = words(text)
+    """The fingerprint of one text, as a signed 64-bit number."""
+    return fingerprint_of(words(text), shingle)
+
+
+def fingerprint_of(of: list[str], shingle: int = 3) -> int:
+    """The fingerprint of a text's words. Shingles are made and counted in chunks: memory stays bounded."""
     if not of:
         return 0
-    grams = [" ".join(of)] if len(of) < shingle else [" ".join(g) for g in zip(*(of[i:] for i in range(shingle)), strict=False)]
+    n = max(1, len(of) - shingle + 1)
+    grams = iter([" ".join(of)]) if len(of) < shingle else (" ".join(g) for g in zip(*(islice(of, i, None) for i in range(shingle)), strict=False))
     ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(grams), CHUNK):
-        part = np.fromiter((digest(g, 42) for g in grams[at : at + CHUNK]), np.uint64)
+    while len(part := np.fromiter((digest(g, 42) for g in islice(grams, CHUNK)), np.uint64)):
         ones += _bits(part)
-    return int(np.packbits(ones * 2 > len(grams), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -81,6 +85,21 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c != "text"], fp("text").alias("fp"))
 
 
+def fingerprints_and_sketches(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``fp`` and the columns of :func:`minhash.set_sketch` for each row, next to the columns other than the text.
+
+    One function for both: a text is cut into words once, and a task has one Python worker, not two.
+    """
+
+    @F.pandas_udf("fp long, node long, n int, bands array<long>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(fingerprint_of(w, shingle), *set_sketch(w)) for w in map(words, b)]
+            yield pd.DataFrame(rows, columns=["fp", "node", "n", "bands"])
+
+    return docs.select(*[c for c in docs.columns if c != "text"], both("text").alias("_p")).select("*", "_p.*").drop("_p")
+
+
 def trie_join(tree: np.ndarray, path: np.ndarray, budget: np.ndarray, side: np.ndarray, bits: int = 32) -> np.ndarray:
     """Join trees with themselves; returns for each row the least row it is linked to, directly or not.
 
@@ -294,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = id_and_text(docs, id_col, text_col)
     rows = with_key(own) if keys or percent else own
-    prints = written(fingerprints(rows.withColumn("sketch", sketch("text")) if percent else rows, shingle), "fingerprints")
+    prints = written((fingerprints_and_sketches if percent else fingerprints)(rows, shingle), "fingerprints")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     distinct = written(prints.withColumn("_s", salt).groupBy("fp").agg(F.min("doc_id").alias("least"), F.collect_set("_s").alias("_ss")), "distinct")
     links = near_links(distinct.select("fp"), budget, max_tree)
