@@ -5,10 +5,11 @@ sets collapse first. Candidates share one of 50 bands of 5 MinHash values each:
 with a probability of (1 - 0.8^5)^50 = 2.4e-9, above it with a lesser one. Each candidate is then compared by
 its whole sets, so no pair below the threshold is linked.
 
-A bucket (the sets that share a band) is not compared all with all: its least set is compared with the others,
-sets that are linked by then need no comparison, and only a bucket that still holds unlinked sets goes on with its next
-32 least, until none is left. So a group of m near copies costs about m comparisons. Joins on buckets and on the sets
-compared are salted.
+A bucket (the sets that share a band) is not compared all with all: its least set is compared with the others, and
+sets that are linked by then need no comparison. Only a bucket that still holds several components goes on: the 32 least
+sets outside of its largest component are compared with the sets of other components, and so on until one component
+is left. So a group of m near copies costs about m comparisons, and a stranger in its buckets m more, not one round for
+every 32 of the group. Joins on buckets and on the sets compared are salted.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.llm.common import KEY, with_key, written
@@ -78,12 +79,13 @@ def similar_links(docs: DataFrame, sketches: DataFrame, percent: int = 80) -> Da
 
     each = sets.select("node", "n", F.explode("b.bands").alias("band"))
     many = each.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
-    left = written(each.join(many, "band").withColumn("root", F.col("node")), "buckets")
+    left = written(each.join(many, "band").withColumn("root", F.col("node")).withColumn("minor", F.lit(True)), "buckets")
     whole = _whole_sets(docs, sets, left)
     tested = found = None
     k = FIRST
     while not left.isEmpty():
-        pairs = _pairs(left, k, percent)
+        pivots = written(_pivots(left, k), "pivots")
+        pairs = _pairs(left, pivots, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -91,7 +93,7 @@ def similar_links(docs: DataFrame, sketches: DataFrame, percent: int = 80) -> Da
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = new if found is None else found.unionByName(new)
         roots = written(components(found), "set-roots")
-        left = written(_rest(left, roots, k), "buckets")
+        left = written(_rest(left, roots, pivots), "buckets")
         k = LATER
     if found is not None:
         a, b = (sets.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
@@ -103,31 +105,43 @@ def similar_links(docs: DataFrame, sketches: DataFrame, percent: int = 80) -> Da
 
 
 def _pivots(left: DataFrame, k: int) -> DataFrame:
-    """For each bucket of ``left`` its k least sets, and the salts that its rows use."""
+    """For each bucket of ``left`` its k least sets outside of its largest component, and the salts that its rows use."""
     item = F.struct("node", "n", "root")
-    first = F.array(F.min(item)) if k == 1 else F.slice(F.array_sort(F.collect_set(item)), 1, k)
-    return _salted(left).groupBy("band").agg(first.alias("ps"), F.collect_set("_s").alias("_ss"))
+    if k == 1:
+        return _salted(left).groupBy("band").agg(F.array(F.min(item)).alias("ps"), F.collect_set("_s").alias("_ss"))
+    least = left.where("minor").withColumn("_k", F.row_number().over(Window.partitionBy("band").orderBy("node"))).where(F.col("_k") <= k)
+    ps = least.groupBy("band").agg(F.collect_list(item).alias("ps"))  # at most k
+    return ps.join(_salted(left).groupBy("band").agg(F.collect_set("_s").alias("_ss")), "band")
 
 
 def _salted(rows: DataFrame, by: str = "node") -> DataFrame:
     return rows.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
 
 
-def _pairs(left: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b), a < b: the least k of each bucket with all others of another component, where their sizes allow the similarity."""
-    ps = _pivots(left, k).select("band", "ps", F.explode("_ss").alias("_s"))
-    p = _salted(left).join(ps, ["band", "_s"]).select("node", "n", "root", F.explode("ps").alias("p"))
-    fit = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent
-    return p.where((F.col("root") != F.col("p.root")) & fit).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+def _pairs(left: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: the pivots of each bucket with all others of another component, where their sizes allow the similarity."""
 
+    def fit(p: Column) -> Column:
+        return (p["root"] != F.col("root")) & (F.least(F.col("n"), p["n"]) * 100 >= F.greatest(F.col("n"), p["n"]) * percent)
 
-def _rest(left: DataFrame, roots: DataFrame, k: int) -> DataFrame:
-    """What is still to be compared: without the sets compared with all others, and without buckets of one component."""
-    ps = _pivots(left, k).select("band", F.explode(F.col("ps.node")).alias("node"))
-    r = left.drop("root").join(ps, ["band", "node"], "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ps = pivots.select("band", "ps", F.explode("_ss").alias("_s"))
+    p = _salted(left).join(ps, ["band", "_s"]).select("node", F.explode(F.filter("ps", fit)).alias("p"))
+    return p.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def _rest(left: DataFrame, roots: DataFrame, pivots: DataFrame) -> DataFrame:
+    """What is still to be compared: without the pivots, compared with all others, and without buckets of one component.
+
+    ``minor``: whether a set is outside of its bucket's largest component.
+    """
+    ps = pivots.select("band", F.explode(F.col("ps.node")).alias("node"))
+    r = left.drop("root", "minor").join(ps, ["band", "node"], "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     r = written(r, "rest")
-    open_ = r.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.collect_set(F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).alias("_ss")).where("r0 <> r1")
-    return _salted(r).join(open_.select("band", F.explode("_ss").alias("_s")), ["band", "_s"]).drop("_s")
+    parts = _salted(r).groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"), F.collect_set("_s").alias("_ss"))
+    top = F.max_by("root", F.struct("m", "root")).alias("top")
+    open_ = parts.select("band", "root", "m", F.explode("_ss").alias("_s")).groupBy("band").agg(top, F.min("root").alias("r0"), F.max("root").alias("r1"), F.collect_set("_s").alias("_ss")).where("r0 <> r1")
+    of = _salted(r).join(open_.select("band", "top", F.explode("_ss").alias("_s")), ["band", "_s"])
+    return of.withColumn("minor", F.col("root") != F.col("top")).drop("_s", "top")
 
 
 def _whole_sets(docs: DataFrame, sets: DataFrame, left: DataFrame) -> DataFrame:
