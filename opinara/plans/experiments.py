@@ -35,8 +35,11 @@ def threshold_sensitivity(df: DataFrame, group: str, threshold: str, metric: str
 
 
 def high_variance_targets(long: DataFrame, quantile: float, target: str = "target", y: str = "y") -> DataFrame:
-    """Rows of targets whose stance variance is at least the quantile of all targets' variances."""
-    v = long.groupBy(target).agg(F.var_samp(y).alias("_v")).where("_v IS NOT NULL")
+    """Rows of targets whose stance variance is at least the quantile of all targets' variances.
+
+    Variances are rounded to twelve digits: targets of equal counts are then equal, in whatever order their rows were summed, and none of those at the quantile is left out.
+    """
+    v = long.groupBy(target).agg(F.round(F.var_samp(y), 12).alias("_v")).where("_v IS NOT NULL")
     cut = v.agg(F.percentile("_v", quantile).alias("_c"))
     return long.join(v.join(F.broadcast(cut)).where("_v >= _c").select(target), target, "left_semi")
 
