@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,37 @@ def word_windows(docs: DataFrame, key: str, tokens: str, words: list[str], windo
     return at.select(key, F.explode(begun).alias("w"), "word").groupBy(key, "w").agg(F.array_sort(F.collect_set("word")).alias("held"))
 
 
+def window_counts(docs: DataFrame, tokens: str, words: list[str], window: int) -> DataFrame:
+    """(held, n): how many windows of :func:`word_windows` hold just these of ``words``.
+
+    Along a text the words held change only where a word's windows begin or end; between two such places all windows are one count. So no window is a row, and a
+    batch of texts gives a row for each set that it has.
+    """
+    at = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("p"), t.alias("word"))), lambda x: x["word"].isin(words))
+    rows = docs.select(F.greatest(F.size(tokens) - window, F.lit(0)).alias("last"), F.transform(at, lambda x: x["p"]).alias("p"), F.transform(at, lambda x: x["word"]).alias("word")).where(F.size("p") > 0)
+
+    def counted(batches):
+        for pdf in batches:
+            found: Counter = Counter()
+            for last, places, names in zip(pdf["last"], pdf["p"], pdf["word"], strict=True):
+                changes: dict[int, Counter] = {}
+                for p, word in zip(places, names, strict=True):
+                    changes.setdefault(max(p - window + 1, 0), Counter())[word] += 1
+                    changes.setdefault(min(p, last) + 1, Counter())[word] -= 1
+                held, before = {}, 0
+                for w in sorted(changes):
+                    if held and w > before:
+                        found[tuple(sorted(held))] += w - before
+                    for word, n in changes[w].items():
+                        held[word] = held.get(word, 0) + n
+                        if not held[word]:
+                            del held[word]
+                    before = w
+            yield pd.DataFrame({"held": [list(h) for h in found], "n": list(found.values())})
+
+    return rows.mapInPandas(counted, "held array<string>, n long").groupBy("held").agg(F.sum("n").alias("n"))
+
+
 def coherence(docs: DataFrame, key: str, tokens: str, topics: dict[int, list[str]], window: int = 110) -> dict[int, float]:
     """For each topic the mean normalised pointwise mutual information of its top words, from how many windows hold each and each two of them.
 
@@ -30,7 +63,7 @@ def coherence(docs: DataFrame, key: str, tokens: str, topics: dict[int, list[str
     """
     words = sorted({w for ws in topics.values() for w in ws})
     total = docs.agg(F.coalesce(F.sum(F.greatest(F.size(tokens) - window, F.lit(0)) + 1), F.lit(0)).alias("n")).first()["n"]
-    held = shared(word_windows(docs, key, tokens, words, window).groupBy("held").agg(F.count(F.lit(1)).alias("n")))
+    held = shared(window_counts(docs, tokens, words, window))
     single = {r["a"]: r["n"] for r in held.select(F.explode("held").alias("a"), "n").groupBy("a").agg(F.sum("n").alias("n")).collect()}
     both = held.select(F.explode("held").alias("a"), "held", "n").select("a", F.explode("held").alias("b"), "n").where("a < b")
     pairs = {(r["a"], r["b"]): r["n"] for r in both.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
