@@ -157,14 +157,26 @@ class References:
         self.most: list[dict[tuple, int]] = [{} for _ in range(order)]
         self.lengths = sorted({len(r) for r in references})
         for r in references:
-            for n, most in enumerate(self.most, 1):
+            for n, most in enumerate(self.most[: len(r)], 1):
+                if n == len(r):
+                    most.setdefault(tuple(r), 1)
+                    continue
                 for g, c in Counter(tuple(r[i : i + n]) for i in range(len(r) - n + 1)).items():
                     most[g] = max(most.get(g, 0), c)
+        self._near: dict[int, int] = {}
+
+    def near(self, n: int) -> int:
+        """The length nearest to ``n``, of two the lesser."""
+        if n not in self._near:
+            self._near[n] = min(self.lengths, key=lambda x: (abs(x - n), x))
+        return self._near[n]
 
 
 def bleu(candidate: list[str], references: list[list[str]] | References, order: int = 4) -> float:
     """Sentence BLEU of effective order: n-grams beyond the candidate's length are left out."""
     refs = references if isinstance(references, References) else References(references, order)
+    if len(candidate) == 1 <= order:
+        return min(1.0, math.exp(1 - refs.near(1))) if tuple(candidate) in refs.most[0] else 0.0
     logs = []
     for n in range(1, min(order, len(candidate)) + 1):
         grams = Counter(tuple(candidate[i : i + n]) for i in range(len(candidate) - n + 1))
@@ -174,7 +186,7 @@ def bleu(candidate: list[str], references: list[list[str]] | References, order:
         logs.append(math.log(hit / sum(grams.values())))
     if not logs:
         return 0.0
-    near = min(refs.lengths, key=lambda x: (abs(x - len(candidate)), x))
+    near = refs.near(len(candidate))
     return math.exp(sum(logs) / len(logs)) * min(1.0, math.exp(1 - near / len(candidate)))
 
 
