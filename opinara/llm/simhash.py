@@ -91,11 +91,11 @@ def fingerprints_and_sketches(docs: DataFrame, shingle: int = 3) -> DataFrame:
     One function for both: a text is cut into words once, and a task has one Python worker, not two.
     """
 
-    @F.pandas_udf("fp long, node long, n int, bands array<long>")
+    @F.pandas_udf("fp long, node long, n int, bands array<long>, bits array<long>")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(fingerprint_of(w, shingle), *set_sketch(w)) for w in map(words, b)]
-            yield pd.DataFrame(rows, columns=["fp", "node", "n", "bands"])
+            yield pd.DataFrame(rows, columns=["fp", "node", "n", "bands", "bits"])
 
     return docs.select(*[c for c in docs.columns if c != "text"], both("text").alias("_p")).select("*", "_p.*").drop("_p")
 
